@@ -33,25 +33,30 @@ def normalise_types(df: DataFrame) -> DataFrame:
     return df.withColumns(casts)
 
 
-def drop_duplicate_events(df: DataFrame) -> DataFrame:
+def drop_duplicate_events(df: DataFrame, whole_rows: bool = False) -> DataFrame:
     """Keep the first event (by id) of each (customer, time, type, item).
 
-    The `= 1` filter on the row number lets Spark keep only one row per key before the shuffle, so a key
-    with very many copies never travels.
+    Either way one row per key is kept before the shuffle, so a key with very many copies never travels. By
+    default only the columns a query needs are shuffled. With `whole_rows` the row goes through as one value:
+    a plan that reads the cleaned log several times then shuffles it once and reuses that exchange.
     """
     keys = [c for c in DEDUP_KEYS if c in df.columns]
+    if whole_rows:
+        rest = [c for c in df.columns if c not in keys and c != "event_id"]
+        kept = df.groupBy(*keys).agg(F.min(F.struct("event_id", *rest)).alias("__row"))
+        return kept.select(*[F.col(c) if c in keys else F.col(f"__row.{c}") for c in df.columns])
     first = Window.partitionBy(*keys).orderBy("event_id")
     return df.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
 
 
-def clean_events(df: DataFrame) -> DataFrame:
+def clean_events(df: DataFrame, whole_rows: bool = False) -> DataFrame:
     """Standardised, typed, filtered and deduplicated events; ids and revenue are filled when absent."""
     df = normalise_types(standardise_columns(df)).where(F.col("event_type").isin(CORE_EVENT_TYPES))
     if "event_id" not in df.columns:
         keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in DEDUP_KEYS if c in df.columns]
         df = df.withColumn("event_id", F.sha2(F.concat_ws("|", *keys), 256))
     revenue = F.coalesce(F.col("revenue").try_cast("double"), F.lit(0.0)) if "revenue" in df.columns else F.lit(0.0)
-    return drop_duplicate_events(df.withColumn("revenue", revenue))
+    return drop_duplicate_events(df.withColumn("revenue", revenue), whole_rows)
 
 
 def sessionize(ev: DataFrame, timeout_minutes: float = 30, bucket: str = "hour") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators import cleaning, features, lifecycle
+from cohortlens.schemas import CORE_EVENT_TYPES
 from cohortlens.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,14 +27,18 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), d) for c, d in digits.items()})
 
 
-def core_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean_events(star.raw_events(spark, sf_dir))
+def core_events(spark: SparkSession, sf_dir: str, whole_rows: bool = False) -> DataFrame:
+    return cleaning.clean_events(star.raw_events(spark, sf_dir), whole_rows)
+
+
+def core_cutoff(spark: SparkSession, sf_dir: str):
+    """The last valid event time; duplicates do not change a maximum, so the raw scan is enough."""
+    raw = star.raw_events(spark, sf_dir)
+    return features.latest_timestamp(raw.where(F.col("event_type").isin(CORE_EVENT_TYPES)))
 
 
 def core_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.customer_features(
-        core_events(spark, sf_dir), cutoff=features.latest_timestamp(
-            star.raw_events(spark, sf_dir).where(F.col("event_type").isin("view", "addtocart", "transaction"))))
+    return features.customer_features(core_events(spark, sf_dir, True), cutoff=core_cutoff(spark, sf_dir))
 
 
 def order_features(spark: SparkSession, sf_dir: str, cutoff=None) -> DataFrame:
