@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators import cleaning, features, lifecycle
+from cohortlens.operators import canonical, cleaning, customers, decisions, features, lifecycle
 from cohortlens.schemas import CORE_EVENT_TYPES
+from cohortlens.session import settle
 from cohortlens.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,11 +29,13 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), d) for c, d in digits.items()})
 
 
+# ---- inputs ------------------------------------------------------------------------------------------
+
 def core_events(spark: SparkSession, sf_dir: str, whole_rows: bool = False) -> DataFrame:
     return cleaning.clean_events(star.raw_events(spark, sf_dir), whole_rows)
 
 
-def core_cutoff(spark: SparkSession, sf_dir: str):
+def core_cutoff(spark: SparkSession, sf_dir: str) -> datetime:
     """The last valid event time; duplicates do not change a maximum, so the raw scan is enough."""
     raw = star.raw_events(spark, sf_dir)
     return features.latest_timestamp(raw.where(F.col("event_type").isin(CORE_EVENT_TYPES)))
@@ -41,28 +45,85 @@ def core_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.customer_features(core_events(spark, sf_dir, True), cutoff=core_cutoff(spark, sf_dir))
 
 
-def order_features(spark: SparkSession, sf_dir: str, cutoff=None) -> DataFrame:
+def order_features(spark: SparkSession, sf_dir: str, cutoff: datetime | None = None) -> DataFrame:
     return features.customer_features(
         star.order_events(spark, sf_dir), cutoff=cutoff, windows=star.ORDER_WINDOWS)
 
 
-@query("p1_p6_clean_events")
-def _(spark, sf):
-    return core_events(spark, sf)
+def order_span(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
+    return star.order_events(spark, sf_dir).agg(F.min("timestamp"), F.max("timestamp")).first()
+
+
+def order_cutoff(spark: SparkSession, sf_dir: str, fraction: float) -> datetime:
+    """A cutoff at a fraction of the order log's whole-day span."""
+    low, high = order_span(spark, sf_dir)
+    return low + timedelta(days=int((high - low).days * fraction))
+
+
+class OrderTables:
+    """The derived tables of the order log, built on one settled feature table."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.events = star.order_events(spark, sf_dir)
+        low, high = order_span(spark, sf_dir)
+        self.span_days = (high - low).total_seconds() / 86400.0
+        self.feat = settle(order_features(spark, sf_dir, high))
+        self.customers = features.customer_summary(self.events)
+        self.states, self.edges = lifecycle.states_and_transitions(self.feat, scale=star.ORDER_SCALE)
+        self.preds = features.baseline_churn(self.feat, self.span_days)
+        self.uplift = decisions.rule_uplift(self.feat, star.ORDER_SCALE)
+        # a fixed assignment by order frequency stands in for a clustering
+        self.segments = self.feat.select(
+            "customer_id", F.least(F.lit(3), F.floor(F.col("frequency_90d") / F.lit(4))).cast("int").alias("segment_id")
+        ).withColumn("segment_label", F.concat(F.lit("Group "), F.col("segment_id").cast("string")))
+
+    @property
+    def inputs(self) -> DataFrame:
+        return decisions.decision_inputs(
+            self.customers, self.feat, self.states, self.segments, self.preds, None, self.uplift)
+
+    @property
+    def recs(self) -> DataFrame:
+        return decisions.next_best_action_core(self.inputs)
+
+    @property
+    def profiles(self) -> DataFrame:
+        return customers.customer_360(
+            self.customers, self.feat, self.states, None, self.segments, self.preds, None, self.uplift, self.recs)
+
+
+def sales_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.to_canonical(star.sales_lines(spark, sf_dir), star.SALES_MAPPING)
+
+
+def click_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.to_canonical(star.table(spark, sf_dir, "events"), star.CLICK_MAPPING)
 
 
-@query("a11_customer_features")
-def _(spark, sf):
-    return rounded(core_features(spark, sf), category_entropy=9)
+def scored_orders(spark: SparkSession, sf_dir: str, fraction: float = 0.7) -> DataFrame:
+    """(customer_id, score, label): recency baseline at a cutoff against what happened afterwards."""
+    cutoff = order_cutoff(spark, sf_dir, fraction)
+    ev = star.order_events(spark, sf_dir)
+    feat = order_features(spark, sf_dir, cutoff)
+    labels = customers.churn_labels(ev, cutoff, star.ORDER_HORIZON_DAYS)
+    low, high = order_span(spark, sf_dir)
+    preds = features.baseline_churn(
+        feat.withColumn("is_cold_start", F.lit(False)), (high - low).total_seconds() / 86400.0)
+    return preds.join(labels, "customer_id").select(
+        "customer_id", F.col("predicted_probability").alias("score"), F.col("churned").alias("label"))
 
 
-@query("a11_order_features")
-def _(spark, sf):
-    return rounded(order_features(spark, sf), category_entropy=9)
+def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null experiment: an arbitrary split of customers and whether they order after the 85 % cutoff."""
+    cutoff = order_cutoff(spark, sf_dir, 0.85)
+    feat = order_features(spark, sf_dir, cutoff)
+    later = customers.churn_labels(star.order_events(spark, sf_dir), cutoff, star.ORDER_HORIZON_DAYS)
+    return feat.join(later, "customer_id").withColumn(
+        "treatment", F.when(F.col("customer_id").cast("long") % 100 < 85, 1).otherwise(0)).withColumn(
+        "conversion", 1 - F.col("churned"))
 
 
-@query("a24_state_distribution")
-def state_distribution(spark, sf):
-    feat = core_features(spark, sf)
-    states = feat.select("customer_id", lifecycle.lifecycle_state_core().alias("current_state"))
-    return rounded(lifecycle.state_distribution(states, feat), avg_recency_days=6, avg_revenue=6, avg_churn_risk=6)
+def load() -> dict[str, Query]:
+    """All queries; importing the parts registers them."""
+    from cohortlens.plans import catalog_core, catalog_decide, catalog_models, catalog_stats  # noqa: F401
+    return dict(QUERIES)
