@@ -63,3 +63,8 @@ def _from_epoch(n: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def cents(c: Column) -> Column:
+    """Half-up to two decimals in plain double arithmetic."""
+    return F.floor(c * 100.0 + 0.5) / F.lit(100.0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlens.plans import oracle_core
+from cohortlens.plans import oracle_core, oracle_decide, oracle_stats
 
-_MODULES = (oracle_core,)
+_MODULES = (oracle_core, oracle_decide, oracle_stats)
 
 
 def sql() -> dict[str, str]:

@@ -258,8 +258,8 @@ RECS = """rec AS (
 
 ORDER_TABLES = ORDER_STATES + (
     CUSTOMERS, SEGMENTS, baseline("b", "g"), rule_uplift("u", "g", 12.0), INPUTS, RECS,
-    """tr AS (SELECT previous_state, current_state, count(*) AS n FROM gp GROUP BY 1, 2)""",
+    """tr AS (SELECT *, n / sum(n) OVER (PARTITION BY previous_state) AS probability
+           FROM (SELECT previous_state, current_state, count(*) AS n FROM gp GROUP BY 1, 2))""",
     """st AS (SELECT gp.customer_id, gp.current_state, gp.previous_state,
-                     CAST(floor(recency_days) AS INTEGER) AS state_duration_days,
-                     tr.n / sum(tr.n) OVER (PARTITION BY gp.previous_state, gp.customer_id) AS one, recency_days
-              FROM gp JOIN tr ON gp.previous_state = tr.previous_state AND gp.current_state = tr.current_state)""")
+                  CAST(floor(recency_days) AS INTEGER) AS state_duration_days, probability AS transition_probability
+           FROM gp JOIN tr ON gp.previous_state = tr.previous_state AND gp.current_state = tr.current_state)""")

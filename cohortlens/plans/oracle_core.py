@@ -110,13 +110,13 @@ FROM oev JOIN st ON oev.customer_id = st.customer_id"""
     q["p25_cold_start_prediction"] = chain(*CORE_FEATURES) + """
 SELECT f.customer_id, 'INSUFFICIENT_HISTORY' AS status, 0.40::DOUBLE AS churn_probability,
        'UNCERTAIN_COLD_START' AS churn_prediction,
-       CASE WHEN carts_7d > 0 THEN 'ADD_TO_CART' WHEN views_7d > 2 THEN 'VIEW' ELSE 'INACTIVE' END
+       CASE WHEN f.carts_7d > 0 THEN 'ADD_TO_CART' WHEN f.views_7d > 2 THEN 'VIEW' ELSE 'INACTIVE' END
          AS next_event_prediction,
-       CASE WHEN carts_7d > 0 THEN 0.55::DOUBLE WHEN views_7d > 2 THEN 0.65::DOUBLE ELSE 0.50::DOUBLE END
+       CASE WHEN f.carts_7d > 0 THEN 0.55::DOUBLE WHEN f.views_7d > 2 THEN 0.65::DOUBLE ELSE 0.50::DOUBLE END
          AS next_event_probability,
        'LOW' AS confidence_band
 FROM f JOIN f_b ON f.customer_id = f_b.customer_id
-WHERE total_events < 40 OR active_days < 28 OR frequency_90d < 3"""
+WHERE total_events < 40 OR active_days < 28 OR f.frequency_90d < 3"""
     q["p26_baseline_churn"] = chain(*ORDER_FEATURES, baseline("b", "g")) + " SELECT * FROM b"
     q["w1_sessionize"] = chain(CLEAN, _sessions(1440)) + """
 SELECT event_id, customer_id, tm AS "timestamp", session_index,
