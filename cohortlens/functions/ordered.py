@@ -16,22 +16,35 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import settle
 
-_SLICE = "__slice"
+SLICE = "__slice"
 _KEY = "__order"
 
 
-def _edges(df: DataFrame, key: Column, slices: int) -> list[float]:
-    probs = [i / slices for i in range(1, slices)]
-    row = df.agg(F.percentile_approx(key.cast("double"), probs, F.lit(10 * slices)).alias("e")).first()
-    return sorted({float(v) for v in (row["e"] or [])})
+def slice_edges(df: DataFrame, columns: Sequence[str], slices: int) -> dict[str, list[float]]:
+    """Approximate slice edges of several columns, in one narrow aggregate."""
+    probs = ",".join(f"{i / slices!r}D" for i in range(1, slices))
+    row = df.agg(*[F.expr(f"percentile_approx(CAST(`{c}` AS DOUBLE), array({probs}), {10 * slices})").alias(c)
+                   for c in columns]).first()
+    return {c: sorted({float(v) for v in (row[c] or [])}) for c in columns}
 
 
-def _sliced(df: DataFrame, key: Column, edges: Sequence[float]) -> DataFrame:
-    keyed = df.withColumn(_KEY, key.cast("double"))
-    if not edges:
-        return keyed.withColumn(_SLICE, F.lit(0.0))
-    splits = [-math.inf, *edges, math.inf]
-    return Bucketizer(splits=splits, inputCol=_KEY, outputCol=_SLICE, handleInvalid="keep").transform(keyed)
+def bucketed(df: DataFrame, edges: dict[str, Sequence[float]], suffix: str = "_slice") -> DataFrame:
+    """Add `<column><suffix>`, the number of edges at or below the value, for every column in `edges`."""
+    cols = list(edges)
+    ready = df.withColumns({c: F.col(c).cast("double") for c in cols})
+    cut = [c for c in cols if edges[c]]
+    if cut:
+        ready = Bucketizer(
+            splitsArray=[[-math.inf, *edges[c], math.inf] for c in cut], inputCols=cut,
+            outputCols=[c + suffix for c in cut], handleInvalid="keep").transform(ready)
+    return ready.withColumns({c + suffix: F.lit(0.0) for c in cols if c not in cut})
+
+
+def stacked(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), suffix: str = "_slice") -> DataFrame:
+    """One row per column and non-null value: (feature, v, slice, *keep)."""
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"), F.col(c + suffix).alias(SLICE)) for c in columns]
+    return df.select(F.explode(F.array(*cells)).alias("c"), *keep).select("c.*", *keep).where(
+        F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def running_totals(
@@ -51,17 +64,26 @@ def running_totals(
     name a cheaper table with the same `key` to take the slice edges from.
     """
     order = -F.col(key).cast("double") if descending else F.col(key).cast("double")
-    sliced = _sliced(df, order, _edges(edges_from if edges_from is not None else df, order, slices))
-    ahead = Window.partitionBy(*by, F.lit(0)).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sliced.groupBy(*by, _SLICE).agg(*[F.sum(c).alias(c) for c in totals]).select(
-        *by, _SLICE, *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"__off_{c}") for c in totals])
-    inside = Window.partitionBy(*by, _SLICE).orderBy(_KEY, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    # offsets has one row per slice and group, at most `slices` times the bounded number of groups
-    joined = sliced.join(F.broadcast(offsets), [*by, _SLICE])
+    source = edges_from if edges_from is not None else df
+    edges = slice_edges(source.select(order.alias(_KEY)), [_KEY], slices)
+    sliced = bucketed(df.withColumn(_KEY, order), edges).withColumnRenamed(_KEY + "_slice", SLICE)
+    return running_in_slices(sliced, _KEY, totals, by, tie).drop(_KEY, SLICE)
+
+
+def running_in_slices(
+    sliced: DataFrame, key: str, totals: Sequence[str], by: Sequence[str] = (), tie: Sequence[str] = ()
+) -> DataFrame:
+    """`running_totals` for a table that already carries its slice numbers."""
+    ahead = Window.partitionBy(*by, F.lit(0)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(*by, SLICE).agg(*[F.sum(c).alias(c) for c in totals]).select(
+        *by, SLICE, *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"__off_{c}") for c in totals])
+    inside = Window.partitionBy(*by, SLICE).orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    # offsets has one row per slice and group: at most the number of slices times the bounded number of groups
+    joined = sliced.join(F.broadcast(offsets), [*by, SLICE])
     for c in totals:
         joined = joined.withColumn(
             f"{c}_before", F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__off_{c}"))
-    return joined.drop(_KEY, _SLICE, *[f"__off_{c}" for c in totals])
+    return joined.drop(*[f"__off_{c}" for c in totals])
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rn") -> DataFrame:
@@ -86,49 +108,58 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rn") -> Dat
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], slices: int = 512) -> list[float | None]:
-    """Exact quantiles with linear interpolation, as driver scalars.
+    """Exact quantiles of one column; see `quantiles_of`."""
+    return quantiles_of(df, {column: probs}, slices)[column]
+
+
+def quantiles_of(
+    df: DataFrame, wanted: dict[str, Sequence[float]], slices: int = 512
+) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation of several columns, as driver scalars.
 
-    Three narrow scans: a sketch for slice edges, a count per slice, and a value histogram of only those
-    slices that hold a wanted rank. No more than a few slices of the table are ever shuffled.
+    Three narrow scans whatever the number of columns: a sketch for slice edges, a count per slice, and a value
+    histogram of only those slices that hold a wanted rank. No more than a few slices are ever shuffled.
     """
-    data = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    sliced = _sliced(data, F.col("v"), _edges(data, F.col("v"), slices))
-    counts = dict(sliced.groupBy(_SLICE).count().collect())
-    n = sum(counts.values())
-    if n == 0:
-        return [None] * len(probs)
-    spots = [p * (n - 1) for p in probs]
-    ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-    starts, seen, wanted = {}, 0, {}
-    for s in sorted(counts):
-        starts[s] = seen
-        inside = [r for r in ranks if seen <= r < seen + counts[s]]
-        if inside:
-            wanted[s] = inside
-        seen += counts[s]
-    hist = sliced.where(F.col(_SLICE).isin(list(wanted))).groupBy(_SLICE, "v").count()
-    upto = Window.partitionBy(_SLICE).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("upto", F.sum("count").over(upto))
-    hit = F.lit(False)
-    for s, rs in wanted.items():
-        local = [r - starts[s] for r in rs]
-        any_rank = F.lit(False)
-        for r in local:
-            any_rank = any_rank | ((F.col("upto") > r) & (F.col("upto") - F.col("count") <= r))
-        hit = hit | ((F.col(_SLICE) == s) & any_rank)
-    found = cum.where(hit).select(_SLICE, "v", "upto", "count").collect()  # at most two rows per prob
-
-    def at(rank: int) -> float:
+    cols = list(wanted)
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    tall = stacked(bucketed(data, slice_edges(data, cols, slices)), cols)
+    counts = {(r["feature"], r[SLICE]): r["count"] for r in tall.groupBy("feature", SLICE).count().collect()}
+    spots, starts, picks = {}, {}, []
+    for c in cols:
+        sizes = sorted((s, n) for (f, s), n in counts.items() if f == c)
+        total = sum(n for _, n in sizes)
+        spots[c] = [p * (total - 1) for p in wanted[c]] if total else []
+        ranks = {r for s in spots[c] for r in (math.floor(s), math.ceil(s))}
+        seen = 0
+        for s, n in sizes:
+            starts[c, s] = seen
+            picks += [(c, s, r - seen) for r in ranks if seen <= r < seen + n]
+            seen += n
+    if not picks:
+        return {c: [None] * len(wanted[c]) for c in cols}
+
+    targets = F.broadcast(df.sparkSession.createDataFrame(
+        picks, f"feature string, {SLICE} double, rank long"))  # at most two rows per probability
+    hist = tall.join(F.broadcast(targets.select("feature", SLICE).distinct()), ["feature", SLICE], "left_semi").groupBy(
+        "feature", SLICE, "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("feature", SLICE).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("upto", F.sum("n").over(upto))
+    found = cum.join(targets, ["feature", SLICE]).where(
+        (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank"))).collect()
+
+    def at(c: str, rank: int) -> float:
         for f in found:
-            low = starts[f[_SLICE]] + f["upto"] - f["count"]
-            if low <= rank < low + f["count"]:
-                return f["v"]
+            if f["feature"] == c:
+                low = starts[c, f[SLICE]] + f["upto"] - f["n"]
+                if low <= rank < low + f["n"]:
+                    return f["v"]
         raise ValueError("rank outside the data")
 
-    out = []
-    for s in spots:
-        low, high = at(math.floor(s)), at(math.ceil(s))
-        out.append(low + (high - low) * (s - math.floor(s)))
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        out[c] = [None] * len(wanted[c]) if not spots[c] else [
+            at(c, math.floor(s)) + (at(c, math.ceil(s)) - at(c, math.floor(s))) * (s - math.floor(s))
+            for s in spots[c]]
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import as_ts, clip
-from cohortlens.functions.ordered import quantiles
+from cohortlens.functions.ordered import quantiles_of
 
 
 def _alert(metric: str, baseline: Column, current: Column, pct: Column, severity: Column, method: str) -> Column:
@@ -71,8 +71,8 @@ def opportunity_scores(
     The three 95th percentiles are exact driver scalars; everything else is row-local.
     """
     c = F.col
-    tops = {k: max(1.0, quantiles(feat, k, [0.95])[0] or 1.0)
-            for k in ("monetary_total", "frequency_90d", "views_7d")}
+    tops = {k: max(1.0, q[0] or 1.0) for k, q in quantiles_of(
+        feat, {k: [0.95] for k in ("monetary_total", "frequency_90d", "views_7d")}).items()}
     if uplift is not None:
         feat = feat.join(uplift.select("customer_id", "estimated_uplift"), "customer_id", "left")
         responsive = clip(F.coalesce("estimated_uplift", F.lit(0.05)) / F.lit(0.15), 0, 1)

@@ -1,61 +1,66 @@
-"""Drift between a reference and a current population."""
+"""Drift between a reference and a current population; all features go through the same few passes."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.expressions import count_where
-from cohortlens.functions.ordered import quantiles, running_totals
+from cohortlens.functions import ordered
 from cohortlens.schemas import DRIFT_FEATURES
 
 
-def _both(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
-    v = F.col(column).cast("double").alias("v")
-    both = ref.select(v, F.lit(1).alias("is_ref")).unionAll(cur.select(v, F.lit(0).alias("is_ref")))
-    return both.where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-
-def psi(ref: DataFrame, cur: DataFrame, column: str, buckets: int = 10, eps: float = 1e-4) -> DataFrame:
-    """Population stability index over the reference's quantile buckets, clipped to 0..10."""
-    edges = quantiles(ref.where(~F.isnan(F.col(column).cast("double"))), column,
-                      [i / buckets for i in range(buckets + 1)])
-    if edges[0] is None:
-        return ref.sparkSession.createDataFrame([(column, 0.0)], "feature string, psi double")
-    inner = sorted(set(edges[1:-1]))
-    both = _both(ref, cur, column)
-    splits = [-math.inf, *inner, math.inf]
-    binned = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(both)
-    counts = binned.groupBy("b").agg(F.sum("is_ref").alias("r"), F.sum(1 - F.col("is_ref")).alias("c"))
-    grid = ref.sparkSession.createDataFrame([(float(i),) for i in range(len(splits) - 1)], "b double")
-    dense = grid.join(F.broadcast(counts), "b", "left").fillna(0, ["r", "c"])
-    totals = counts.agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    tr, tc = totals.select("r").scalar(), totals.select("c").scalar()
-
-    def share(n, total):
-        s = n / F.greatest(total, F.lit(1))
+def _both(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
+    vals = [F.col(c).cast("double").alias(c) for c in columns]
+    return ref.select(*vals, F.lit(1).alias("is_ref")).unionAll(cur.select(*vals, F.lit(0).alias("is_ref")))
+
+
+def _sides() -> list[Column]:
+    return [F.sum("is_ref").alias("r"), F.sum(1 - F.col("is_ref")).alias("c")]
+
+
+def psi(
+    ref: DataFrame, cur: DataFrame, columns: Sequence[str], buckets: int = 10, eps: float = 1e-4
+) -> DataFrame:
+    """Population stability index per feature over the reference's quantile buckets, clipped to 0..10."""
+    inner = [i / buckets for i in range(1, buckets)]
+    clean = ref.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) for c in columns])
+    edges = {c: sorted({v for v in q if v is not None})
+             for c, q in ordered.quantiles_of(clean, {c: inner for c in columns}).items()}
+    tall = ordered.stacked(ordered.bucketed(_both(ref, cur, columns), edges), columns, ["is_ref"])
+    counts = tall.groupBy("feature", F.col(ordered.SLICE).alias("b")).agg(*_sides())
+    totals = counts.groupBy("feature").agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"))
+    grid = ref.sparkSession.createDataFrame(
+        [(c, float(i)) for c in columns for i in range(len(edges[c]) + 1)], "feature string, b double")
+    # grid, counts and totals have one row per feature and bucket, or per feature
+    dense = grid.join(F.broadcast(counts), ["feature", "b"], "left").fillna(0, ["r", "c"]).join(
+        F.broadcast(totals), "feature", "left").fillna(0, ["tr", "tc"])
+
+    def share(n: str, total: str) -> Column:
+        s = F.col(n) / F.greatest(F.col(total), F.lit(1))
         return F.when(s == 0, eps).otherwise(s)
 
-    pr, pc = share(F.col("r"), tr), share(F.col("c"), tc)
-    return dense.agg(F.sum((pc - pr) * F.ln(pc / pr)).alias("x")).select(
-        F.lit(column).alias("feature"),
-        F.when(tc == 0, 0.0).otherwise(F.least(F.greatest("x", F.lit(0.0)), F.lit(10.0))).alias("psi"))
+    pr, pc = share("r", "tr"), share("c", "tc")
+    both = F.min(F.least("tr", "tc")) > 0
+    return dense.groupBy("feature").agg(
+        F.when(both, F.least(F.greatest(F.sum((pc - pr) * F.ln(pc / pr)), F.lit(0.0)), F.lit(10.0)))
+        .otherwise(0.0).alias("psi"))
 
 
-def ks_statistic(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
-    """Largest gap between the two empirical distribution functions, with both sample sizes."""
-    both = _both(ref, cur, column)
-    hist = both.groupBy("v").agg(F.sum("is_ref").alias("r"), count_where(F.col("is_ref") == 0).alias("c"))
-    run = running_totals(hist, "v", ["r", "c"], edges_from=both)
-    totals = both.agg(F.sum("is_ref").alias("n_ref"), count_where(F.col("is_ref") == 0).alias("n_cur"))
-    nr, nc = totals.select("n_ref").scalar(), totals.select("n_cur").scalar()
-    gap = F.abs((F.col("r_before") + F.col("r")) / nr - (F.col("c_before") + F.col("c")) / nc)
-    return run.agg(F.max(gap).alias("ks_statistic")).select(
-        F.lit(column).alias("feature"), "ks_statistic", nr.alias("n_ref"), nc.alias("n_cur"))
+def ks_statistic(ref: DataFrame, cur: DataFrame, columns: Sequence[str], slices: int = 128) -> DataFrame:
+    """Largest gap between the two empirical distribution functions per feature, with both sample sizes."""
+    both = _both(ref, cur, columns)
+    tall = ordered.stacked(ordered.bucketed(both, ordered.slice_edges(both, columns, slices)), columns, ["is_ref"])
+    hist = tall.groupBy("feature", ordered.SLICE, "v").agg(*_sides())
+    run = ordered.running_in_slices(hist, "v", ["r", "c"], by=["feature"])
+    # the last value of a feature has seen everything, so sizes need no second pass over the data
+    sizes = hist.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    gap = F.abs((F.col("r_before") + F.col("r")) / F.greatest("n_ref", F.lit(1))
+                - (F.col("c_before") + F.col("c")) / F.greatest("n_cur", F.lit(1)))
+    return run.join(F.broadcast(sizes), "feature").groupBy("feature").agg(
+        F.max(gap).alias("ks_statistic"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
 
 
 def ks_pvalue(d: float, n: int, m: int) -> float:
@@ -70,14 +75,16 @@ def drift_report(
     ref: DataFrame, cur: DataFrame, columns: Sequence[str] = tuple(DRIFT_FEATURES)
 ) -> tuple[DataFrame, str]:
     """(one row per feature with KS, p-value, PSI and verdict; overall health)."""
+    shared = [c for c in columns if c in ref.columns and c in cur.columns]
+    ks = {r["feature"]: r for r in ks_statistic(ref, cur, shared).collect()}  # one row per feature
+    shift = {r["feature"]: r["psi"] for r in psi(ref, cur, shared).collect()}
     rows = []
-    for col in columns:  # a fixed handful of features; two scalars each
-        if col not in ref.columns or col not in cur.columns:
+    for c in shared:
+        if c not in ks:
             continue
-        ks = ks_statistic(ref, cur, col).first()
-        value = psi(ref, cur, col).first()["psi"]
-        p = ks_pvalue(ks["ks_statistic"], ks["n_ref"], ks["n_cur"])
-        rows.append((col, ks["ks_statistic"], p, value, bool(p < 0.05 and value > 0.10),
+        k, value = ks[c], shift[c]
+        p = ks_pvalue(k["ks_statistic"], k["n_ref"], k["n_cur"])
+        rows.append((c, k["ks_statistic"], p, value, bool(p < 0.05 and value > 0.10),
                      "CRITICAL" if value > 0.25 else "WARNING" if value > 0.10 else "GOOD"))
     worst, drifted = max((r[3] for r in rows), default=0.0), sum(r[4] for r in rows)
     health = "CRITICAL" if worst > 0.25 or drifted >= 2 else "WARNING" if worst > 0.10 or drifted >= 1 else "GOOD"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import count_where
+from cohortlens.functions.ordered import quantiles_of
 from cohortlens.schemas import CORE_EVENT_TYPES
 
 REQUIRED = ["event_id", "customer_id", "event_type", "timestamp"]
@@ -205,12 +206,12 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, standard deviation, minimum, exact quartiles and maximum per numeric column."""
-    from cohortlens.functions.ordered import quantiles
     stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in
                      (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
     rows = []
+    quartiles = quantiles_of(df, {c: [0.25, 0.5, 0.75] for c in columns})
     for c in columns:
-        q1, q2, q3 = quantiles(df, c, [0.25, 0.5, 0.75])
+        q1, q2, q3 = quartiles[c]
         rows.append(F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}_{c}").alias(n)
                     for n in ("count", "mean", "std", "min")],
                     F.lit(q1).cast("double").alias("p25"), F.lit(q2).cast("double").alias("p50"),

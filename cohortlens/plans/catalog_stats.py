@@ -76,19 +76,13 @@ def _two_cuts(spark, sf):
 @query("m26_psi")
 def _(spark, sf):
     ref, cur = _two_cuts(spark, sf)
-    out = drift.psi(ref, cur, "recency_days")
-    for c in ("monetary_total", "velocity_7d_30d", "frequency_30d"):
-        out = out.unionByName(drift.psi(ref, cur, c))
-    return rounded(out, psi=9)
+    return rounded(drift.psi(ref, cur, ["recency_days", "monetary_total", "velocity_7d_30d", "frequency_30d"]), psi=9)
 
 
 @query("w5_ks_statistic")
 def _(spark, sf):
     ref, cur = _two_cuts(spark, sf)
-    out = drift.ks_statistic(ref, cur, "recency_days")
-    for c in ("monetary_total", "frequency_30d"):
-        out = out.unionByName(drift.ks_statistic(ref, cur, c))
-    return rounded(out, ks_statistic=9)
+    return rounded(drift.ks_statistic(ref, cur, ["recency_days", "monetary_total", "frequency_30d"]), ks_statistic=9)
 
 
 @query("m27_m28_drift_report")
