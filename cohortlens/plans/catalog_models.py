@@ -1 +1,127 @@
 """Queries: fitted models."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from cohortlens.models import anomaly, churn, explain, next_event, segmentation, uplift
+from cohortlens.models.vectors import assemble
+from cohortlens.operators import kpis, segments
+from cohortlens.operators.customers import next_event_labels
+from cohortlens.plans.catalog import (
+    core_cutoff, core_events, experiment, order_cutoff, order_features, query,
+)
+from cohortlens.operators.features import customer_features
+from cohortlens.session import settle
+from cohortlens.sources import star
+
+
+def _order_splits(spark, sf):
+    return churn.churn_splits(star.order_events(spark, sf), horizon_days=star.ORDER_HORIZON_DAYS,
+                              windows=star.ORDER_WINDOWS)
+
+
+def _segmented(spark, sf):
+    feat = settle(order_features(spark, sf))
+    return feat, segmentation.train_segments(feat)
+
+
+@query("m1_m5_segmentation_candidates")
+def _(spark, sf):
+    feat = settle(order_features(spark, sf))
+    return segmentation.train_segments(feat, mixture=True).candidates
+
+
+@query("m7_assign_segments")
+def _(spark, sf):
+    feat, seg = _segmented(spark, sf)
+    return segmentation.assign_segments(seg, feat)
+
+
+@query("m6_projection")
+def _(spark, sf):
+    feat, seg = _segmented(spark, sf)
+    points, explained = segmentation.project(seg, feat)
+    return points.withColumn("explained_x", F.lit(explained[0])).withColumn("explained_y", F.lit(explained[1]))
+
+
+@query("r7_w4_label_segments")
+def _(spark, sf):
+    feat, seg = _segmented(spark, sf)
+    return segments.segment_summaries(feat, settle(segmentation.assign_segments(seg, feat)))
+
+
+@query("m8_churn_splits")
+def _(spark, sf):
+    return _order_splits(spark, sf).groupBy("split").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("label").cast("long").alias("churned"))
+
+
+@query("m10_m11_churn_metrics")
+def _(spark, sf):
+    return churn.train_churn(_order_splits(spark, sf)).metrics
+
+
+@query("m13_m18_m19_churn_scores")
+def _(spark, sf):
+    model = churn.train_churn(_order_splits(spark, sf), calibrate=True)
+    return churn.score_churn(model, order_features(spark, sf))
+
+
+@query("r18_published_scores")
+def _(spark, sf):
+    feat = settle(order_features(spark, sf))
+    scored = settle(churn.score_churn(churn.train_churn(_order_splits(spark, sf)), feat))
+    return kpis.check_predictions(scored, feat)
+
+
+@query("m18_shap_additivity")
+def _(spark, sf):
+    """Largest difference between a margin and the sum of its contributions."""
+    model = churn.train_churn(_order_splits(spark, sf))
+    vectors = assemble(order_features(spark, sf), model.columns).select("customer_id", "features")
+    parts, base = explain.tree_contributions(model.trees, model.trees.transform(vectors))
+    total = F.aggregate("contributions", F.lit(base), lambda a, v: a + v)
+    return parts.agg(F.count(F.lit(1)).alias("customers"),
+                     (F.max(F.abs(total - vector_to_array("rawPrediction")[1])) < 1e-9).alias("adds_up"))
+
+
+@query("m12_tune_churn")
+def _(spark, sf):
+    best, tried = churn.tune_churn(_order_splits(spark, sf), trials=2, ranges={
+        "maxIter": (5, 15), "maxDepth": (2, 4), "stepSize": (0.05, 0.2)})
+    return spark.createDataFrame([(i, p["maxIter"], p["maxDepth"], p["stepSize"], s, p == best)
+                                  for i, (p, s) in enumerate(tried)],
+                                 "trial int, max_iter int, max_depth int, step_size double, pr_auc double, best boolean")
+
+
+def _next_event(spark, sf):
+    from datetime import timedelta
+    ev = settle(core_events(spark, sf))
+    cutoff = core_cutoff(spark, sf) - timedelta(days=1)
+    labelled = customer_features(ev, cutoff).join(next_event_labels(ev, cutoff), "customer_id")
+    return ev, next_event.train_next_event(labelled.where(~F.col("is_cold_start")))
+
+
+@query("m20_next_event_metrics")
+def _(spark, sf):
+    return _next_event(spark, sf)[1].metrics
+
+
+@query("m21_next_event_scores")
+def _(spark, sf):
+    ev, model = _next_event(spark, sf)
+    return next_event.score_next_event(model, customer_features(ev))
+
+
+@query("m22_m25_uplift_models")
+def _(spark, sf):
+    model = uplift.train_uplift(experiment(spark, sf), ["recency_days", "frequency_30d", "monetary_total", "aov"],
+                                params={"maxIter": 20})
+    return uplift.uplift_overview(model)
+
+
+@query("m9_anomalies")
+def _(spark, sf):
+    return anomaly.detect_anomalies(settle(order_features(spark, sf, order_cutoff(spark, sf, 1.0))))

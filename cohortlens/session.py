@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,3 +58,18 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, so that a lost executor cannot change later reads."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (needed only by the two Arrow operators)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(), os.path.basename(root)), "zip", os.path.dirname(root), os.path.basename(root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
