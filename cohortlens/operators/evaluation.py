@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.expressions import count_where
 from cohortlens.functions.ordered import global_rank, running_totals
 
-COST_THRESHOLDS = [0.05 + i * 0.005 for i in range(181)]
+COST_THRESHOLDS = [(10 + i) / 200 for i in range(181)]  # 0.05 to 0.95
 TABLE_THRESHOLDS = [0.30, 0.40, 0.50, 0.60, 0.70]
 CURVE_THRESHOLDS = [0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90]
 

@@ -125,5 +125,7 @@ def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> dict[str, Query]:
     """All queries; importing the parts registers them."""
-    from cohortlens.plans import catalog_core, catalog_decide, catalog_models, catalog_stats  # noqa: F401
+    from cohortlens.plans import (  # noqa: F401
+        catalog_core, catalog_decide, catalog_jobs, catalog_models, catalog_stats, catalog_streams,
+    )
     return dict(QUERIES)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlens.plans import oracle_core, oracle_decide, oracle_stats
+from cohortlens.plans import oracle_core, oracle_decide, oracle_jobs, oracle_stats
 
-_MODULES = (oracle_core, oracle_decide, oracle_stats)
+_MODULES = (oracle_core, oracle_decide, oracle_jobs, oracle_stats)
 
 
 def sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ ROUNDED = "* REPLACE (round(category_entropy, 9) AS category_entropy)"
 BUY = "event_type IN ('purchase', 'transaction', 'order', 'buy')"
 
 
-def _sessions(minutes: int) -> str:
+def sessions(minutes: int) -> str:
     return f"""marked AS (
   SELECT *, CASE WHEN epoch_us(tm) - epoch_us(lag(tm) OVER w) > {minutes} * 60000000::BIGINT
                    OR lag(tm) OVER w IS NULL THEN 1 ELSE 0 END AS opens
@@ -118,10 +118,10 @@ SELECT f.customer_id, 'INSUFFICIENT_HISTORY' AS status, 0.40::DOUBLE AS churn_pr
 FROM f JOIN f_b ON f.customer_id = f_b.customer_id
 WHERE total_events < 40 OR active_days < 28 OR f.frequency_90d < 3"""
     q["p26_baseline_churn"] = chain(*ORDER_FEATURES, baseline("b", "g")) + " SELECT * FROM b"
-    q["w1_sessionize"] = chain(CLEAN, _sessions(1440)) + """
+    q["w1_sessionize"] = chain(CLEAN, sessions(1440)) + """
 SELECT event_id, customer_id, tm AS "timestamp", session_index,
        'sess_' || customer_id || '_' || session_index AS session_id FROM sess"""
-    q["w1_session_summary"] = chain(CLEAN, _sessions(30)) + """
+    q["w1_session_summary"] = chain(CLEAN, sessions(30)) + """
 SELECT customer_id, session_index, min(tm) AS session_start, max(tm) AS session_end, count(*) AS events
 FROM sess GROUP BY 1, 2"""
     q["a1_customer_summary"] = chain(CLEAN) + """

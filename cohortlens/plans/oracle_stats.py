@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from cohortlens.plans.oracle_base import CORE_FEATURES, ORD_CUT, ORD_SPAN, ORD_WINDOWS, ORDERS, chain, features, span_cut
+from cohortlens.plans.oracle_base import (
+    CLEAN, CORE_FEATURES, ORD_CUT, ORD_SPAN, ORD_WINDOWS, ORDERS, RAW, chain, features, span_cut,
+)
+from cohortlens.plans.oracle_core import sessions as _sessions
 from cohortlens.plans.oracle_decide import CHANGES
 
 _CUT = span_cut("oev", 0.7)
@@ -75,7 +78,7 @@ def sql() -> dict[str, str]:
 SELECT round(quantile_cont(o_totalprice, 0.95), 4) AS p95, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders"""
     q["w10_export_ids"] = chain(*CORE_FEATURES, CHANGES) + """
 SELECT format('chg_{:06d}', row_number() OVER (ORDER BY customer_id, metric)) AS change_id, customer_id, metric FROM chg"""
-    grid = "SELECT 0.05::DOUBLE + i * 0.005::DOUBLE AS t FROM range(181) g(i)"
+    grid = "SELECT (10 + i) / 200.0::DOUBLE AS t FROM range(181) g(i)"
     q["m14_cost_optimal_threshold"] = chain(*SCORED, _confusion(grid)) + """
 SELECT round(threshold, 6) AS threshold, fn * 5.0::DOUBLE + fp AS cost FROM cf ORDER BY cost, cf.threshold LIMIT 1"""
     q["m15_threshold_table"] = chain(*SCORED, _confusion(_values([0.3, 0.4, 0.5, 0.6, 0.7]))) + f"""
@@ -118,4 +121,18 @@ FROM (SELECT sum((cumulative_qini + prev) / 2.0 * (population_fraction - pf)) AS
         _psi(c) for c in ("recency_days", "monetary_total", "velocity_7d_30d", "frequency_30d"))
     q["w5_ks_statistic"] = chain(*TWO) + " UNION ALL ".join(
         _ks(c) for c in ("recency_days", "monetary_total", "frequency_30d"))
+    q["x1_stream_clean"] = chain(CLEAN) + """
+SELECT event_id, customer_id, customer_id AS visitor_id, event_type, item_id, category_id, tm AS "timestamp",
+       transaction_id, revenue FROM ev"""
+    # a window is emitted once the watermark (latest event, whole milliseconds, minus one hour) has passed its end
+    mark = "(SELECT date_trunc('millisecond', max(ts)) - to_hours(1) FROM events)"
+    q["x2_stream_sessions"] = chain(CLEAN, _sessions(30)) + f"""
+SELECT customer_id, min(tm) AS session_start, max(tm) AS session_end, count(*) AS events FROM sess
+GROUP BY customer_id, session_index
+HAVING max(tm) + to_minutes(30) <= (SELECT date_trunc('millisecond', max(tm)) - to_hours(1) FROM ev)"""
+    q["x3_stream_traffic"] = chain(RAW) + f"""
+SELECT date_trunc('hour', tm) AS window_start, date_trunc('hour', tm) + to_hours(1) AS window_end, count(*) AS events,
+       count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'addtocart') AS carts,
+       count(*) FILTER (event_type = 'transaction') AS purchases
+FROM raw GROUP BY 1, 2 HAVING date_trunc('hour', tm) + to_hours(1) <= {mark}"""
     return q

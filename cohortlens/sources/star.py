@@ -15,11 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The click stream in the core layout, still with its invalid event types."""
+def as_core_events(clicks: DataFrame) -> DataFrame:
+    """The click table (batch or stream) in the core layout, still with its invalid event types."""
     k = F.get_json_object("props", "$.k")
     buy = F.col("event_type") == "purchase"
-    return table(spark, sf_dir, "events").select(
+    return clicks.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("user_id").cast("string").alias("customer_id"),
         F.col("user_id").cast("string").alias("visitor_id"),
@@ -32,6 +32,11 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(buy, F.col("value")).otherwise(0.0).alias("revenue"))
 
 
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The click stream table in the core layout."""
+    return as_core_events(table(spark, sf_dir, "events"))
+
+
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as an order-only log: every row is a transaction."""
     key = F.col("o_orderkey").cast("string")
