@@ -50,8 +50,9 @@ def fit_forest(feat: DataFrame, columns: Sequence[str], trees: int = 100, rows_p
     data = feat.select("customer_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     # rows are dealt to trees by hash; a small table is dealt to several trees per row instead
     copies = max(1, -(-need // max(1, n))) if n < need else 1
+    space = 1 << 40
     thin = data if n < need else data.where(
-        F.pmod(F.xxhash64("customer_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, 1.5 * need / n))))
+        F.pmod(F.xxhash64("customer_id", F.lit(seed)), F.lit(space)) < F.lit(int(space * min(1.0, 1.5 * need / n))))
     dealt = thin.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(min(copies, trees))))).withColumn(
         "tree", F.pmod(F.xxhash64("customer_id", "copy", F.lit(seed)), F.lit(trees)).cast("int")).withColumn(
         "__order", F.xxhash64("customer_id", "copy", "tree")).drop("copy").dropDuplicates(["customer_id", "tree"])

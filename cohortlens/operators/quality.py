@@ -24,6 +24,19 @@ def duplicate_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return sizes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """Distinct non-null values of every column: (column_name, unique_values).
+
+    Values travel as 128-bit hashes under their column number, so the shuffle is narrow whatever the types and
+    repeats are folded before it; counting all columns in one aggregate would carry every column in every key.
+    """
+    cells = [F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(i), c).alias("h2"), c.isNotNull()
+                      .alias("known")) for i, c in enumerate(F.col(f"`{n}`") for n in df.columns)]
+    values = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("known")
+    counts = values.groupBy("i", "h1", "h2").agg(F.lit(1)).groupBy("i").agg(F.count(F.lit(1)).alias("unique_values"))
+    return counts.select(F.get(F.lit(list(df.columns)), F.col("i")).alias("column_name"), "unique_values")
+
+
 def validate_events(df: DataFrame) -> DataFrame:
     """One row with counts, rates, time range, score and status of an event log."""
     missing = [c for c in REQUIRED if c not in df.columns]
@@ -74,12 +87,11 @@ def column_profile(df: DataFrame, exact: bool = True, samples: int = 5) -> DataF
     stats = []
     for i, c in enumerate(df.columns):
         col, num = F.col(f"`{c}`"), is_numeric(types[c])
-        distinct = F.count_distinct(col) if exact else F.approx_count_distinct(col, 0.01)
-        stats += [distinct.alias(f"d{i}"), count_where(col.isNull()).alias(f"n{i}"),
-                  (F.min(col).cast("double") if num else F.lit(None).cast("double")).alias(f"lo{i}"),
-                  (F.max(col).cast("double") if num else F.lit(None).cast("double")).alias(f"hi{i}"),
-                  (F.avg(col) if num else F.lit(None).cast("double")).alias(f"mean{i}"),
-                  (F.min(col.cast("string")) if types[c] == "string" else F.lit(None).cast("string")).alias(f"s{i}")]
+        nothing = F.lit(None).cast("double")
+        stats += [(F.lit(None).cast("long") if exact else F.approx_count_distinct(col, 0.01)).alias(f"d{i}"),
+                  count_where(col.isNull()).alias(f"n{i}"), (F.min(col).cast("double") if num else nothing).alias(f"lo{i}"),
+                  (F.max(col).cast("double") if num else nothing).alias(f"hi{i}"),
+                  (F.avg(col) if num else nothing).alias(f"mean{i}")]
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *stats)
     first_rows = df.limit(20).collect()  # twenty rows, to show samples and test text for dates
     per_column = []
@@ -89,11 +101,17 @@ def column_profile(df: DataFrame, exact: bool = True, samples: int = 5) -> DataF
         per_column.append(F.struct(
             F.lit(c).alias("column_name"), F.lit(types[c]).alias("raw_dtype"), F.lit(dated).alias("__dated"),
             F.lit(is_numeric(types[c])).alias("__num"), F.lit(_named_id(c)).alias("__named_id"),
-            F.col(f"d{i}").alias("unique_values"), F.col(f"n{i}").alias("null_count"),
+            F.col(f"d{i}").alias("__sketch"), F.col(f"n{i}").alias("null_count"),
             F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"mean{i}").alias("mean"),
             F.lit([str(v) for v in shown[:samples]]).cast("array<string>").alias("sample_values")))
     rows = F.greatest(F.col("rows"), F.lit(1))
     tall = wide.select("rows", F.explode(F.array(*per_column)).alias("p")).select("rows", "p.*")
+    if exact:
+        # both sides have one row per column
+        tall = tall.join(F.broadcast(distinct_counts(df)), "column_name", "left")
+    else:
+        tall = tall.withColumnRenamed("__sketch", "unique_values")
+    tall = tall.withColumn("unique_values", F.coalesce("unique_values", F.lit(0)))
     share = F.col("unique_values") / rows
     kind = (F.when(F.col("__dated") & ((F.col("unique_values") > 5) | (F.col("raw_dtype") != "string")), "datetime")
             .when(((share > 0.70) & (F.col("unique_values") > 10)) | F.col("__named_id"), "id_like")

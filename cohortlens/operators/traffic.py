@@ -13,7 +13,10 @@ HOUR_LABELS = [f"{h % 12 or 12} {'AM' if h < 12 else 'PM'}" for h in range(24)]
 DAY_LABELS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 # Hours that always count as peak.
 EVENING, LUNCH = [19, 20, 21, 22], [13, 14]
-_ALL = Window.partitionBy(F.lit(0))  # only ever used over the 24 or 7 rows of a dense skeleton
+
+def _all_rows():
+    """One window over everything: only ever used over the 24 or 7 rows of a dense skeleton."""
+    return Window.partitionBy(F.lit(0))
 
 
 def _dense(counts: DataFrame, key: str, size: int, labels: list[str], label: str) -> DataFrame:
@@ -28,7 +31,7 @@ def hourly_traffic(ev: DataFrame) -> DataFrame:
     counts = ev.where(F.col("timestamp").isNotNull()).groupBy(F.hour("timestamp").alias("hour")).agg(
         F.count(F.lit(1)).alias("event_count"))
     dense = _dense(counts, "hour", 24, HOUR_LABELS, "label")
-    top = F.greatest(F.max("event_count").over(_ALL), F.lit(1))
+    top = F.greatest(F.max("event_count").over(_all_rows()), F.lit(1))
     hour = F.col("hour")
     return dense.select(
         "hour", "label", "event_count", (F.col("event_count") * 100.0 / top).alias("traffic_index"),
@@ -42,7 +45,7 @@ def weekday_demand(ev: DataFrame) -> DataFrame:
     counts = ev.where(F.col("timestamp").isNotNull()).groupBy(F.weekday("timestamp").alias("day_index")).agg(
         F.count(F.lit(1)).alias("event_count"))
     dense = _dense(counts, "day_index", 7, DAY_LABELS, "day_name")
-    mean = F.greatest(F.sum("event_count").over(_ALL) / F.lit(7.0), F.lit(1.0))
+    mean = F.greatest(F.sum("event_count").over(_all_rows()) / F.lit(7.0), F.lit(1.0))
     return dense.select("day_index", "day_name", "event_count",
                         (F.col("event_count") / mean).alias("demand_multiplier"),
                         F.col("day_index").isin(5, 6).alias("is_weekend"))

@@ -11,7 +11,7 @@ from cohortlens.models import anomaly, segmentation
 from cohortlens.operators import (
     affinity, canonical, changes, cleaning, decisions, detection, features, lifecycle, quality, segments, traffic,
 )
-from cohortlens.session import settle
+from cohortlens.session import settle, stored
 
 
 def run_analysis(
@@ -35,7 +35,8 @@ def run_analysis(
             keyed = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string").alias("customer_id"), *numeric)
             report["outliers"] = anomaly.detect_anomalies(keyed, numeric)
         return mode, report
-    canon = canonical.to_canonical(df, mapping, as_of=as_of)
+    # written once: traffic, features, affinity and the series all read it
+    canon = stored(canonical.to_canonical(df, mapping, as_of=as_of), "canonical")
     report["hourly_traffic"], report["weekday_demand"] = traffic.hourly_traffic(canon), traffic.weekday_demand(canon)
     report["funnel"] = traffic.funnel(canon)
     report["category_demand"] = traffic.category_demand(canon, column="category")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators import canonical, cleaning, customers, decisions, features, lifecycle
 from cohortlens.schemas import CORE_EVENT_TYPES
-from cohortlens.session import settle
+from cohortlens.session import settle, stored
 from cohortlens.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,19 +62,41 @@ def order_cutoff(spark: SparkSession, sf_dir: str, fraction: float) -> datetime:
 
 
 class OrderTables:
-    """The derived tables of the order log, built on one settled feature table."""
+    """The derived tables of the order log; features and customers are settled when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.events = star.order_events(spark, sf_dir)
-        low, high = order_span(spark, sf_dir)
-        self.span_days = (high - low).total_seconds() / 86400.0
-        self.feat = settle(order_features(spark, sf_dir, high))
-        self.customers = features.customer_summary(self.events)
-        self.states, self.edges = lifecycle.states_and_transitions(self.feat, scale=star.ORDER_SCALE)
-        self.preds = features.baseline_churn(self.feat, self.span_days)
-        self.uplift = decisions.rule_uplift(self.feat, star.ORDER_SCALE)
-        # a fixed assignment by order frequency stands in for a clustering
-        self.segments = self.feat.select(
+        self._spark, self._dir = spark, sf_dir
+
+    @cached_property
+    def _span(self) -> tuple[datetime, datetime]:
+        return order_span(self._spark, self._dir)
+
+    @cached_property
+    def feat(self) -> DataFrame:
+        return settle(order_features(self._spark, self._dir, self._span[1]))
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return settle(features.customer_summary(self.events))
+
+    @cached_property
+    def states(self) -> DataFrame:
+        return lifecycle.states_and_transitions(self.feat, scale=star.ORDER_SCALE)[0]
+
+    @cached_property
+    def preds(self) -> DataFrame:
+        low, high = self._span
+        return features.baseline_churn(self.feat, (high - low).total_seconds() / 86400.0)
+
+    @cached_property
+    def uplift(self) -> DataFrame:
+        return decisions.rule_uplift(self.feat, star.ORDER_SCALE)
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        """A fixed assignment by order frequency stands in for a clustering."""
+        return self.feat.select(
             "customer_id", F.least(F.lit(3), F.floor(F.col("frequency_90d") / F.lit(4))).cast("int").alias("segment_id")
         ).withColumn("segment_label", F.concat(F.lit("Group "), F.col("segment_id").cast("string")))
 
@@ -96,6 +119,11 @@ def sales_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.to_canonical(star.sales_lines(spark, sf_dir), star.SALES_MAPPING)
 
 
+def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical sales table written once: its features read it twice, and the fact join must not run twice."""
+    return stored(sales_canonical(spark, sf_dir).drop("metadata"), "sales")
+
+
 def click_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.to_canonical(star.table(spark, sf_dir, "events"), star.CLICK_MAPPING)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import canonical, cleaning, detection, features, quality
 from cohortlens.plans.catalog import (
     click_canonical, core_cutoff, core_events, core_features, order_cutoff, order_features, query, rounded,
-    sales_canonical,
+    sales_canonical, stored_sales,
 )
 from cohortlens.schemas import CORE_EVENT_TYPES
 from cohortlens.sources import readers, star
@@ -154,12 +154,12 @@ def _(spark, sf):
 
 @query("a12_entity_features_sales")
 def _(spark, sf):
-    return rounded(canonical.entity_features(sales_canonical(spark, sf), windows=star.ORDER_WINDOWS), average_rating=6)
+    return rounded(canonical.entity_features(stored_sales(spark, sf), windows=star.ORDER_WINDOWS), average_rating=6)
 
 
 @query("a13_churn_training_rows")
 def _(spark, sf):
-    return canonical.churn_training_rows(sales_canonical(spark, sf), windows=star.ORDER_WINDOWS[:2])
+    return canonical.churn_training_rows(stored_sales(spark, sf), windows=star.ORDER_WINDOWS[:2])
 
 
 @query("a14_validate_events")

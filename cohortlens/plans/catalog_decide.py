@@ -8,7 +8,7 @@ from cohortlens.operators import (
     affinity, canonical, changes, customers, decisions, features, kpis, lifecycle, safe_sql, segments, traffic,
 )
 from cohortlens.plans.catalog import (
-    OrderTables, core_events, core_features, order_cutoff, order_features, order_span, query, rounded, sales_canonical,
+    OrderTables, core_events, core_features, order_cutoff, order_features, order_span, query, rounded, stored_sales,
 )
 from cohortlens.session import settle
 from cohortlens.sources import star
@@ -17,7 +17,7 @@ SCALE = star.ORDER_SCALE
 
 
 def sales_features(spark, sf):
-    return settle(canonical.entity_features(sales_canonical(spark, sf), windows=star.ORDER_WINDOWS))
+    return settle(canonical.entity_features(stored_sales(spark, sf), windows=star.ORDER_WINDOWS))
 
 
 def sales_churn(spark, sf, feat):
@@ -48,7 +48,7 @@ def _(spark, sf):
 
 @query("r2_r4_states_universal")
 def _(spark, sf):
-    feat = canonical.entity_features(sales_canonical(spark, sf), windows=star.ORDER_WINDOWS)
+    feat = canonical.entity_features(stored_sales(spark, sf), windows=star.ORDER_WINDOWS)
     return feat.select("customer_id", "is_cold_start", "transactions",
                        lifecycle.lifecycle_state_universal(SCALE).alias("current_state")).withColumn(
         "previous_state", lifecycle.plausible_previous_universal()).drop("is_cold_start", "transactions")
@@ -86,7 +86,7 @@ def _(spark, sf):
 @query("r6_behavior_changes_universal")
 def _(spark, sf):
     low, high = order_span(spark, sf)
-    feat = canonical.entity_features(sales_canonical(spark, sf), windows=star.ORDER_WINDOWS)
+    feat = canonical.entity_features(stored_sales(spark, sf), windows=star.ORDER_WINDOWS)
     return changes.behavior_changes_universal(feat, (high - low).total_seconds() / 86400.0, SCALE)
 
 
@@ -213,7 +213,7 @@ def _(spark, sf):
 @query("r14_rule_uplift_universal")
 def _(spark, sf):
     return decisions.rule_uplift_universal(
-        canonical.entity_features(sales_canonical(spark, sf), windows=star.ORDER_WINDOWS))
+        canonical.entity_features(stored_sales(spark, sf), windows=star.ORDER_WINDOWS))
 
 
 @query("r15_next_action_timing")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.ordered import running_totals
+from cohortlens.functions.skew import salted_join
 from cohortlens.operators.cleaning import clean_events
 from cohortlens.schemas import EXPERIMENT_SCHEMA
 
@@ -76,7 +77,8 @@ def sample_entities(ev: DataFrame, min_rows: int, seed: int = 42, key: str = "cu
         "__h", F.xxhash64(F.col(key), F.lit(seed)).cast("double"))
     spot = ev.select(F.xxhash64(F.col(key), F.lit(seed)).cast("double").alias("__h"))
     kept = running_totals(per_key, "__h", ["n"], tie=[key], edges_from=spot).where(F.col("n_before") < min_rows)
-    return ev.join(kept.select(key), key, "left_semi")
+    return salted_join(ev, kept.select(key), key, counts=per_key.select(key, "n"),
+                       spread_by=[c for c in ev.columns if c != key]).select(*ev.columns)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

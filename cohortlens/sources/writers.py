@@ -27,6 +27,12 @@ def write_events(ev: DataFrame, path: str, unit: str = "day") -> None:
     overwrite(dated.hint("rebalance", "event_date"), path, ["event_date"])
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "customer_id", buckets: int = 256) -> None:
+    """A one-row-per-customer table bucketed by its key: later joins on the key read it without a shuffle."""
+    df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key) \
+        .saveAsTable(table)
+
+
 def replace_slice(df: DataFrame, path: str, column: str) -> None:
     """Replace only the partitions of `column` present in `df` (for example one model_type); others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
