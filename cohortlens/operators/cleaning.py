@@ -67,6 +67,8 @@ def sessionize(ev: DataFrame, timeout_minutes: float = 30, bucket: str = "hour")
     """
     timeout = int(timeout_minutes * 60_000_000)
     rows = ev.withColumn("__b", F.date_trunc(bucket, "timestamp")).withColumn("__us", F.unix_micros("timestamp"))
+    # what the join below would infer for one side only is stated for both, so that they share one input
+    rows = rows.where(F.col("customer_id").isNotNull() & F.col("__b").isNotNull())
     inside = Window.partitionBy("customer_id", "__b").orderBy("__us", "event_id")
     marked = rows.withColumn("__prev", F.lag("__us").over(inside)).withColumn(
         "__start", F.when(F.col("__us") - F.col("__prev") > timeout, 1).otherwise(0))

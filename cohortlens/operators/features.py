@@ -21,6 +21,7 @@ def latest_timestamp(ev: DataFrame, ts: str = "timestamp") -> datetime:
 
 def customer_summary(ev: DataFrame, min_events: int = 3, min_days: float = 14) -> DataFrame:
     """First and last event, counts, revenue, distinct orders and the cold-start flag per customer."""
+    ev = ev.where(F.col("customer_id").isNotNull())
     # distinct orders are found on their own narrow rows, so a hot customer is spread over its orders
     orders = ev.where(F.col("transaction_id").isNotNull()).select("customer_id", "transaction_id").distinct() \
         .groupBy("customer_id").agg(F.count(F.lit(1)).alias("total_orders"))
@@ -95,7 +96,8 @@ def customer_features(
     cutoff = cutoff or latest_timestamp(ev)
     short, middle, long = windows
     at = as_ts(cutoff)
-    ev = ev.where(F.col("timestamp") <= at)
+    # stated here and not left to join inference, so that both branches below read one and the same input
+    ev = ev.where((F.col("timestamp") <= at) & F.col("customer_id").isNotNull())
     ts = F.col("timestamp")
 
     def since(n: float) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.functions import ordered
+from cohortlens.models import explain
 from cohortlens.operators import changes, drift, evaluation
 from cohortlens.plans.catalog import (
     core_features, experiment, order_cutoff, order_features, query, rounded, scored_orders,
@@ -89,4 +90,19 @@ def _(spark, sf):
 def _(spark, sf):
     ref, cur = _two_cuts(spark, sf)
     report, health = drift.drift_report(ref, cur)
-    return report.withColumn("model_health", F.lit(health))
+    return rounded(report.withColumn("model_health", F.lit(health)), ks_statistic=9, p_value=6, psi=9)
+
+
+@query("w6_top_drivers")
+def _(spark, sf):
+    """The strongest drivers per customer, of contributions that are plain deviations from a fixed profile."""
+    feat = order_features(spark, sf)
+    names = ["recency_days", "frequency_90d", "frequency_30d", "purchase_interval_days", "velocity_7d_30d"]
+    parts = F.array((F.col("recency_days") - 200.0) / 100.0, (F.col("frequency_90d") - 5) / 4.0,
+                    (F.col("frequency_30d") - 2) / 2.0, (F.col("purchase_interval_days") - 250.0) / 200.0,
+                    (F.col("velocity_7d_30d") - 1.0) / 3.0)
+    top = explain.top_drivers(F.col("parts"), names, k=2)
+    return feat.select("customer_id", parts.alias("parts")).select("customer_id", top.alias("t")).select(
+        "customer_id", F.array_join(F.transform("t.drivers", lambda d: d["feature"]), ",").alias("drivers"),
+        F.col("t.top_risk_factor.feature").alias("top_factor"), F.size("t.positive_drivers").alias("risks"),
+        F.size("t.protective_drivers").alias("protections"))

@@ -213,6 +213,16 @@ FROM st, LATERAL (VALUES ('customer_360', true), ('rfm_analysis', true), ('segme
   ('churn_prediction', span_days >= 30 AND total_rows >= 100), ('uplift_modeling', false),
   ('product_affinity', true), ('recommendations', true), ('anomaly_detection', true),
   ('time_series_revenue', true)) v(capability, available)"""
+    detected = [("order_id", "TRANSACTION_ID", 0.65, "bigint", "l_orderkey"), ("line_no", "UNKNOWN", 0.30, "int", "l_linenumber"),
+                ("customer_id", "CUSTOMER_ID", 0.65, "bigint", "o_custkey"), ("order_date", "TIMESTAMP", 0.80, "timestamp", "o_orderdate"),
+                ("product_id", "PRODUCT_ID", 0.65, "bigint", "l_partkey"), ("product_category", "PRODUCT_CATEGORY", 0.65, "string", "p_type"),
+                ("quantity", "QUANTITY", 0.99, "double", "l_quantity"), ("sales_amount", "REVENUE", 0.80, "double", "l_extendedprice"),
+                ("customer_city", "COUNTRY", 0.65, "string", "n_name"), ("returned", "RETURNED", 0.65, "int", "l_returnflag = 'R'")]
+    q["a17_detect_columns"] = " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, '{t}' AS detected_semantic_type, {p}::DOUBLE AS confidence, '{d}' AS raw_dtype,
+       count(DISTINCT {e}) AS unique_values
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""" for c, t, p, d, e in detected)
     q["a36_correlation_matrix"] = _corr(["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     q["a36_describe"] = _describe(["l_quantity", "l_extendedprice", "l_discount"])
     q["a38_daily_revenue"] = chain(ORDERS) + """

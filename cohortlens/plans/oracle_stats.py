@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohortlens.plans.oracle_base import (
-    CLEAN, CORE_FEATURES, ORD_CUT, ORD_SPAN, ORD_WINDOWS, ORDERS, RAW, chain, features, span_cut,
+    CLEAN, CORE_FEATURES, ORD_CUT, ORD_SPAN, ORD_WINDOWS, ORDER_FEATURES, ORDERS, RAW, chain, features, span_cut,
 )
 from cohortlens.plans.oracle_core import sessions as _sessions
 from cohortlens.plans.oracle_decide import CHANGES
@@ -52,8 +52,8 @@ QINI = (ORDERS, features("h", "oev", _QC, ORD_WINDOWS), f"""ex AS (
 TWO = (ORDERS, features("r", "oev", span_cut("oev", 0.5), ORD_WINDOWS), features("c", "oev", ORD_CUT, ORD_WINDOWS))
 
 
-def _psi(col: str) -> str:
-    return f"""SELECT '{col}' AS feature, round(least(greatest(sum((pc - pr) * ln(pc / pr)), 0.0), 10.0), 9) AS psi
+def _psi(col: str, digits: int = 9) -> str:
+    return f"""SELECT '{col}' AS feature, round(least(greatest(sum((pc - pr) * ln(pc / pr)), 0.0), 10.0), {digits}) AS psi
 FROM (SELECT CASE WHEN rn = 0 THEN 0.0001::DOUBLE ELSE rn::DOUBLE / (SELECT count(*) FROM r) END AS pr,
              CASE WHEN cn = 0 THEN 0.0001::DOUBLE ELSE cn::DOUBLE / (SELECT count(*) FROM c) END AS pc
   FROM (SELECT lo, hi, (SELECT count(*) FROM r WHERE {col} >= lo AND {col} < hi) AS rn,
@@ -121,6 +121,39 @@ FROM (SELECT sum((cumulative_qini + prev) / 2.0 * (population_fraction - pf)) AS
         _psi(c) for c in ("recency_days", "monetary_total", "velocity_7d_30d", "frequency_30d"))
     q["w5_ks_statistic"] = chain(*TWO) + " UNION ALL ".join(
         _ks(c) for c in ("recency_days", "monetary_total", "frequency_30d"))
+    drifted = ["recency_days", "frequency_30d", "monetary_total", "cart_to_view_ratio", "velocity_7d_30d"]
+    q["m27_m28_drift_report"] = chain(
+        *TWO, "ks AS (" + " UNION ALL ".join(_ks(c, 15) for c in drifted) + ")",
+        "ps AS (" + " UNION ALL ".join(_psi(c, 15) for c in drifted) + ")", """dr AS (
+  SELECT ks.feature, ks_statistic AS d, psi, ks_statistic * sqrt(n_ref::DOUBLE * n_cur / (n_ref + n_cur)) AS lam
+  FROM ks JOIN ps ON ks.feature = ps.feature)""", """pv AS (
+  SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
+    lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * lam * lam))))) END AS p FROM dr)""", """vd AS (
+  SELECT *, p < 0.05 AND psi > 0.10 AS is_drifted FROM pv)""") + """
+SELECT feature, round(d, 9) AS ks_statistic, round(p, 6) AS p_value, round(psi, 9) AS psi, is_drifted,
+       CASE WHEN psi > 0.25 THEN 'CRITICAL' WHEN psi > 0.10 THEN 'WARNING' ELSE 'GOOD' END AS status,
+       (SELECT CASE WHEN max(psi) > 0.25 OR count(*) FILTER (is_drifted) >= 2 THEN 'CRITICAL'
+          WHEN max(psi) > 0.10 OR count(*) FILTER (is_drifted) >= 1 THEN 'WARNING' ELSE 'GOOD' END FROM vd)
+         AS model_health FROM vd"""
+    q["m8_churn_splits"] = chain(ORDERS, *[f"""{n} AS (
+  SELECT '{n}' AS split, count(*) AS customers, count(*) FILTER (later = 0) AS churned
+  FROM (SELECT customer_id, count(*) FILTER (tm <= cut) AS n,
+          (epoch_us(max(tm) FILTER (tm <= cut)) - epoch_us(min(tm) FILTER (tm <= cut))) / 8.64e10 AS active,
+          count(*) FILTER (tm > cut AND tm <= cut + to_days(360)) AS later
+        FROM (SELECT *, {span_cut("oev", f)} AS cut FROM oev) GROUP BY 1) WHERE n >= 3 AND active >= 14)"""
+                                           for n, f in (("train", 0.5), ("val", 0.7), ("test", 0.85))]) + """
+SELECT * FROM train UNION ALL SELECT * FROM val UNION ALL SELECT * FROM test"""
+    q["w6_top_drivers"] = chain(*ORDER_FEATURES, """pt AS (
+  SELECT customer_id, feature, round(v, 4) AS v FROM g, LATERAL (VALUES
+    ('recency_days', (recency_days - 200.0) / 100.0::DOUBLE), ('frequency_90d', (frequency_90d - 5) / 4.0::DOUBLE),
+    ('frequency_30d', (frequency_30d - 2) / 2.0::DOUBLE),
+    ('purchase_interval_days', (purchase_interval_days - 250.0) / 200.0::DOUBLE),
+    ('velocity_7d_30d', (velocity_7d_30d - 1.0) / 3.0::DOUBLE)) t(feature, v) WHERE round(v, 4) <> 0)""", """rk AS (
+  SELECT *, row_number() OVER (PARTITION BY customer_id, v > 0 ORDER BY abs(v) DESC, feature) AS rn FROM pt)""") + """
+SELECT g.customer_id, coalesce(string_agg(feature, ',' ORDER BY abs(v) DESC, feature), '') AS drivers,
+       coalesce(min(feature) FILTER (v > 0 AND rn = 1), arg_min(feature, (-abs(v), feature))) AS top_factor,
+       CAST(count(*) FILTER (v > 0) AS INTEGER) AS risks, CAST(count(*) FILTER (v < 0) AS INTEGER) AS protections
+FROM g LEFT JOIN (SELECT * FROM rk WHERE rn <= 2) r ON g.customer_id = r.customer_id GROUP BY 1"""
     q["x1_stream_clean"] = chain(CLEAN) + """
 SELECT event_id, customer_id, customer_id AS visitor_id, event_type, item_id, category_id, tm AS "timestamp",
        transaction_id, revenue FROM ev"""
