@@ -33,12 +33,14 @@ def run_daily(
     keep("quality", quality.validate_events(raw))
     paths["events"] = f"{out}/events"
     writers.write_events(cleaning.clean_events(raw), paths["events"], partition_unit)
-    ev = spark.read.parquet(paths["events"]).drop("event_date")
+    ev = readers.read_period(spark, paths["events"])
     cutoff = features.latest_timestamp(ev)
     cust = keep("customers", features.customer_summary(ev))
     products = keep("products", features.product_catalog(ev))
     feat = keep("customer_features", features.customer_features(ev, cutoff, windows))
-    earlier = features.customer_features(ev, cutoff - timedelta(days=previous_days), windows).select(
+    before = cutoff - timedelta(days=previous_days)
+    past = readers.read_period(spark, paths["events"], until=before)
+    earlier = features.customer_features(past, before, windows).select(
         "customer_id", lifecycle.lifecycle_state_core(scale).alias("current_state"))
     states, _ = lifecycle.states_and_transitions(feat, earlier, scale)
     states = keep("customer_states", states)
@@ -63,7 +65,8 @@ def run_daily(
         preds = spark.read.parquet(paths["predictions"]).where(F.col("model_type") == "churn")
         kpis.require_valid(kpis.check_predictions(preds, feat))
         label_cut = cutoff - timedelta(days=min(14.0, horizon_days))
-        labelled = features.customer_features(ev, label_cut, windows).where(~F.col("is_cold_start")).join(
+        labelled = features.customer_features(
+            readers.read_period(spark, paths["events"], until=label_cut), label_cut, windows).where(~F.col("is_cold_start")).join(
             customers.next_event_labels(ev, label_cut), "customer_id")
         nxt = keep("next_events", next_event.score_next_event(next_event.train_next_event(labelled), feat))
         digest = readers.fingerprint(ev).first()["dataset_hash"]

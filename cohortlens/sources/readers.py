@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def read_events(
     return sample_rows(df, sample, seed) if sample else df
 
 
+def read_period(
+    spark: SparkSession, path: str, since: datetime | None = None, until: datetime | None = None
+) -> DataFrame:
+    """A log written by `write_events`, between two times; whole date partitions outside them are not opened."""
+    df = spark.read.parquet(path)
+    if since is not None:
+        # a partition may stand for a month, so the one that contains `since` is kept as well
+        df = df.where((F.col("event_date") >= F.lit(since.date().replace(day=1))) & (F.col("timestamp") >= F.lit(since)))
+    if until is not None:
+        df = df.where((F.col("event_date") <= F.lit(until.date())) & (F.col("timestamp") <= F.lit(until)))
+    return df.drop("event_date")
+
+
 def read_experiment(
     spark: SparkSession, path: str, fmt: str | None = None, sample: float | None = None, seed: int = 42
 ) -> DataFrame:

@@ -207,6 +207,15 @@ def test_daily_job_writes_every_table(spark, sf_dir, tmp_path):
     assert spark.read.parquet(paths["events"]).count() == kpi["total_events"]
 
 
+def test_period_reads_prune_partitions(spark, sf_dir, tmp_path):
+    ev = cleaning.clean_events(star.raw_events(spark, sf_dir))
+    writers.write_events(ev, str(tmp_path / "e"))
+    since, until = dt.datetime(2024, 1, 10, 12), dt.datetime(2024, 1, 20, 6)
+    part = readers.read_period(spark, str(tmp_path / "e"), since, until)
+    assert part.count() == ev.where(F.col("timestamp").between(F.lit(since), F.lit(until))).count() > 0
+    assert "PartitionFilters: [isnotnull(event_date" in part._jdf.queryExecution().executedPlan().toString()
+
+
 def test_generic_table_gets_a_generic_report(spark):
     df = spark.createDataFrame([(f"d{i % 3}", float(i), float(i * i)) for i in range(60)], "department string, salary double, age double")
     mode, report = run_analysis(df)
