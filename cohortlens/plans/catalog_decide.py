@@ -258,14 +258,13 @@ def _(spark, sf):
 @query("a30_executive_kpis")
 def _(spark, sf):
     t = OrderTables(spark, sf)
-    return rounded(kpis.executive_kpis(t.customers, t.states, star.table(spark, sf, "part"), t.recs),
-                   portfolio_actionable_uplift=0)
+    return kpis.executive_kpis(t.customers, t.states, star.table(spark, sf, "part"), t.recs)
 
 
 @query("a31_portfolio_kpis")
 def _(spark, sf):
     t = OrderTables(spark, sf)
-    return rounded(kpis.portfolio_kpis(t.customers, t.states, t.recs), portfolio_actionable_uplift=0)
+    return kpis.portfolio_kpis(t.customers, t.states, t.recs)
 
 
 @query("j3_at_risk_revenue")

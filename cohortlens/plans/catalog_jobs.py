@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import features
 from cohortlens.plans.analysis import run_analysis
-from cohortlens.plans.catalog import OrderTables, core_events, order_span, query, rounded
+from cohortlens.plans.catalog import OrderTables, core_events, order_span, query
 from cohortlens.plans.daily import run_daily
 from cohortlens.session import scratch_path
 from cohortlens.sources import registry, star, writers
@@ -79,7 +79,7 @@ def _(spark, sf):
     path = run_daily(spark, star.order_events(spark, sf), scratch_path(spark, "daily"), datetime(2001, 9, 1),
                      star.ORDER_WINDOWS, star.ORDER_HORIZON_DAYS, star.ORDER_SCALE, 720, models=False,
                      partition_unit="month")
-    return rounded(spark.read.parquet(path["executive_kpis"]), portfolio_actionable_uplift=0)
+    return spark.read.parquet(path["executive_kpis"])
 
 
 @query("table_analysis")

@@ -360,13 +360,13 @@ SELECT count(*) AS total_customers, CAST(sum(total_events) AS BIGINT) AS total_e
        round(coalesce(sum(total_revenue) FILTER (current_state IN {RISKY}), 0.0), 2) AS revenue_at_risk,
        count(*) FILTER (current_state IN {RISKY}) * 100.0::DOUBLE / greatest(count(*), 1) AS at_risk_percentage,
        (SELECT count(*) FROM part) AS total_products,
-       (SELECT round(sum(expected_impact), 0) FROM rec) AS portfolio_actionable_uplift
+       (SELECT round(sum(expected_impact), 2) FROM rec) AS portfolio_actionable_uplift
 FROM cust JOIN gs ON cust.customer_id = gs.customer_id"""
     q["a31_portfolio_kpis"] = chain(*ORDER_TABLES) + f"""
 SELECT count(*) AS total_customers, round(sum(total_revenue), 2) AS total_revenue,
        count(*) FILTER (current_state IN {RISKY}) AS at_risk_customers_count,
        round(coalesce(sum(total_revenue) FILTER (current_state IN ('AT_RISK', 'DECLINING')), 0.0), 2) AS revenue_at_risk,
-       (SELECT round(sum(expected_impact), 0) FROM rec) AS portfolio_actionable_uplift
+       (SELECT round(sum(expected_impact), 2) FROM rec) AS portfolio_actionable_uplift
 FROM cust JOIN gs ON cust.customer_id = gs.customer_id"""
     q["j3_at_risk_revenue"] = chain(*ORDER_TABLES) + f"""
 SELECT count(*) AS customers, round(coalesce(sum(total_revenue), 0.0), 2) AS revenue FROM cust
