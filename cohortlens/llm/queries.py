@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import mixing, sharding
+from cohortlens.llm import mixing, oracle, sharding, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,12 +31,25 @@ def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to archives, read back and resolved."""
+    return warc.archive_round_trip(_read(spark, sf_dir, "pages"))
+
+
+def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
+    return token_counts.count_tokens(
+        _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_mix_sources": mix_sources,
         "op7_shard_documents": shard_documents,
+        "op8_archive_pages": archive_pages,
+        "op9_count_tokens": count_tokens,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
