@@ -16,6 +16,29 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
+_NEAR_DUPLICATES = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM w
+), sized AS (
+  SELECT doc_id, s, CAST(len(s) AS BIGINT) AS n_shingles FROM sets
+), tokens AS (
+  SELECT doc_id, n_shingles, unnest(s) AS t FROM sized
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n_shingles) AS na, any_value(b.n_shingles) AS nb, count(*) AS met
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n_shingles, b.n_shingles) >= 90 * greatest(a.n_shingles, b.n_shingles)
+  GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * met >= 90 * (na + nb - met)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM sized UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT doc_id, any_value(n_shingles) AS n_shingles, min(b) AS component_id FROM sized JOIN reach ON a = doc_id GROUP BY doc_id
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op8_archive_pages": _ARCHIVE_PAGES}
+    return {"op2_near_duplicates": _NEAR_DUPLICATES, "op8_archive_pages": _ARCHIVE_PAGES}

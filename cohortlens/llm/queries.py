@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import mixing, oracle, sharding, token_counts, warc
+from cohortlens.llm import jaccard_join, mixing, oracle, sharding, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 90 % of their three-word shingles."""
+    return jaccard_join.jaccard_groups(_read(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     _, taken = mixing.mix(_read(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_near_duplicates": near_duplicates,
         "op5_mix_sources": mix_sources,
         "op7_shard_documents": shard_documents,
         "op8_archive_pages": archive_pages,
