@@ -78,8 +78,10 @@ def block_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: in
     upto = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.withColumn("__first", F.coalesce(F.sum("__slots").over(upto), F.lit(0))).withColumn(
         "__all", F.sum("__slots").over(every)).where("__slots > 0")
+    words = targets.agg(F.sum("target")).first()[0] or 0.0
+    parts = 1 + int(words / block_words / 50_000)  # a fixed number: rows are made after this shuffle, so it looks small to AQE
     chunks = plan.select("__stratum", "__blocks", "__slots", "__first", "__all", F.explode(
-        F.expr(f"sequence(0L, (__slots - 1) div {_CHUNK})")).alias("__chunk")).repartition("__stratum", "__chunk")
+        F.expr(f"sequence(0L, (__slots - 1) div {_CHUNK})")).alias("__chunk")).repartition(parts, "__stratum", "__chunk")
     slots = chunks.select("*", F.explode(F.expr(
         f"sequence(__chunk * {_CHUNK}, least((__chunk + 1) * {_CHUNK}, __slots) - 1)")).alias("__i"))
     at = permuted(F.col("__first") + F.col("__i"), F.col("__all"), F.lit(seed), back=True)
@@ -108,19 +110,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.
         F.col("doc_id").cast("long").alias("doc_id"), "source", stratum_key(F.col("source")).alias("__stratum"), F.lit(seed).alias("__seed"),
         word_count(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("__crc"),
         F.struct(*keep).alias("__keep") if keep else F.lit(0).alias("__keep"), *([F.col("text").alias("__text")] if with_text else []))
+    read = read if with_text else settle(read)  # texts are scanned once, what is left is narrow
     totals = read.groupBy("__stratum", "source").agg(F.sum("size").alias("source_size"))
     targets = settle(source_targets(totals, weights, total, cap))
     cells = cell_count(docs.count())
-    laid = in_cells(read, "__stratum", ["__seed", "doc_id", "__crc", "size"], "size", cells, ["doc_id", "__crc", "size"])
+    laid = in_cells(read, "__stratum", ["__seed", "doc_id", "__crc", "size"], "size", cells, ["doc_id", "__crc", "size"],
+                    targets.select("__stratum", "source_size", "target"))
     cut = F.expr(f"CASE WHEN size > 0 THEN sequence(__before div {block_words}, (__before + size - 1) div {block_words}) END")
     start = F.greatest(F.col("__before"), F.col("block") * block_words)
     end = F.least(F.col("__before") + F.col("size"), (F.col("block") + 1) * block_words)
     pieces = laid.withColumn("block", F.explode_outer(cut)).withColumn("from_word", start - F.col("__before")).withColumn(
-        "words", F.coalesce(end - start, F.lit(0))).join(
-        targets.select("__stratum", "source_size", "target"), "__stratum").withColumn("__row", F.struct("__cell", "__rank"))
+        "words", F.coalesce(end - start, F.lit(0))).withColumn("__row", F.struct("__cell", "__rank"))
     out = ["__stratum", "__row", "doc_id", "source", "size", "source_size", "target", "block", "from_word", "words"]
     text = [F.array_join(F.slice(word_array(F.col("__text")), (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")), " ").alias(
         "text")] if with_text else []
     pieces = pieces.select(*out, *text, *[F.col("__keep")[c].alias(c) for c in keep])
     slots = block_slots(targets, block_words, shard_slots, seed)
-    return pieces, pieces.join(slots, ["__stratum", "block"], "left")
+    # planned sizes know nothing of the rows that are made after the last shuffle: never broadcast them
+    return pieces, pieces.join(slots.hint("merge"), ["__stratum", "block"], "left")

@@ -23,9 +23,12 @@ def cell_count(rows: int, least: int = 256) -> int:
     return max(1, math.ceil(rows / max(least, math.isqrt(max(rows, 1)))))
 
 
-def in_cells(df: DataFrame, stratum: str, order: list[str], measure: str, cells: int, ties: list[str]) -> DataFrame:
+def in_cells(df: DataFrame, stratum: str, order: list[str], measure: str, cells: int, ties: list[str],
+             about: DataFrame | None = None) -> DataFrame:
     """Add __cell, __rank (1, 2, ... in the stratum), __before (sum of `measure` over earlier rows of the stratum), __rows
-    and __total (rows and sum of the stratum). `order` are the hashed columns, `ties` settle equal hashes.
+    and __total (rows and sum of the stratum). `order` are the hashed columns, `ties` settle equal hashes. `about` has one
+    row per stratum, whose columns every row gets: they travel with the cells, as a join of all rows on the stratum would
+    put a large one into one task.
 
     Rows alike in `order` and `ties` may change places; they are alike, so results do not.
     """
@@ -37,6 +40,8 @@ def in_cells(df: DataFrame, stratum: str, order: list[str], measure: str, cells:
         stratum, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows_before"),
         F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__sum_before"),
         F.sum("__n").over(whole).alias("__rows"), F.sum("__m").over(whole).alias("__total"))
+    if about is not None:
+        offsets = offsets.join(about, stratum)
     inside = Window.partitionBy(stratum, "__cell").orderBy("__hash", *ties)
     ranked = dealt.withColumn("__in", F.row_number().over(inside)).withColumn(
         "__sum_in", F.sum(measure).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
