@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard_join, mixing, oracle, sharding, token_counts, warc
+from cohortlens.llm import jaccard_join, language_id, mixing, oracle, quality_rules, sharding, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the learned rules."""
+    return quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+def identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from labels of three quarters of the ids."""
+    docs, path = _read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    return language_id.identify(docs, path, language_id.train(docs, path)).select(
+        "doc_id", (~language_id.learned_rows()).alias("held_out"), "lang_pred", "score")
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share 90 % of their three-word shingles."""
     return jaccard_join.jaccard_groups(_read(spark, sf_dir, "documents"), 3, 90, 100)
@@ -49,6 +62,8 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": quality_rules_query,
+        "op4_identify_languages": identify_languages,
         "op2_near_duplicates": near_duplicates,
         "op5_mix_sources": mix_sources,
         "op7_shard_documents": shard_documents,
