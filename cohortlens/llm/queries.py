@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard_join, language_id, mixing, oracle, quality_rules, sharding, token_counts, warc
+from cohortlens.llm import jaccard_join, language_id, mixing, oracle, perplexity, quality_rules, sharding, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,15 +60,29 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every text under the model of trusted texts, and its language's threshold."""
+    return perplexity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labels of four fifths of the ids."""
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": quality_rules_query,
+        "op3_classify_quality": classify_quality,
         "op4_identify_languages": identify_languages,
         "op2_near_duplicates": near_duplicates,
         "op5_mix_sources": mix_sources,
         "op7_shard_documents": shard_documents,
         "op8_archive_pages": archive_pages,
         "op9_count_tokens": count_tokens,
+        "op10_score_toxicity": score_toxicity,
     }
 
 

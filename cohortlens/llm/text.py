@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -43,3 +43,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every value; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def least_kept(counted: DataFrame, n: str, most: int) -> int:
+    """The least count such that at most `most` rows reach it. Counts from 100,000 on are told apart no further, which bounds
+    what comes to the driver; a class of equal counts is kept or left as a whole."""
+    held, least = 0, 1 << 62
+    for row in counted.groupBy(F.least(n, F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("n")).collect():
+        held += row["rows"]
+        if held > most:
+            break
+        least = row["n"]
+    return least
