@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import jaccard_join, language_id, mixing, oracle, perplexity, quality_rules, sharding, token_counts, toxicity, warc
+from cohortlens.llm import decontamination, jaccard_join, language_id, mixing, oracle, perplexity, quality_rules, sharding, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,11 @@ def score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, with the item."""
+    return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": quality_rules_query,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op4_identify_languages": identify_languages,
         "op2_near_duplicates": near_duplicates,
         "op5_mix_sources": mix_sources,
+        "op6_find_contamination": find_contamination,
         "op7_shard_documents": shard_documents,
         "op8_archive_pages": archive_pages,
         "op9_count_tokens": count_tokens,
