@@ -78,8 +78,9 @@ def count_words(texts: DataFrame, words_of: Callable[[str], list[str]]) -> DataF
     return texts.mapInArrow(count, "cls int, word string, n long").groupBy("cls", "word").agg(F.sum("n").alias("n"))
 
 
-def count_grams(words: DataFrame, order: int) -> DataFrame:
-    """cls, k, g, pre, suf, start (begins a word), n of every n-gram up to `order`."""
+def count_grams(words: DataFrame, order: int, whole: bool = False) -> DataFrame:
+    """cls, k, g, pre, suf, start (begins a word), n of every n-gram up to `order`; with `whole` also, as k = order + 1, of the
+    longer beginnings of words."""
     names = ["cls", "k", "g", "pre", "suf", "start", "n"]
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +90,14 @@ def count_grams(words: DataFrame, order: int) -> DataFrame:
                 mine = np.flatnonzero(cls_all == cls)
                 by, length, prefix = _matrix([text[i] for i in mine])
                 weight = n_all[mine][by].astype(float)
-                for k in range(1, order + 1):
+                for k in range(1, order + 1 + whole):
                     found = []
                     for end in range(max(2, k), prefix.shape[1]):
                         rows = int(np.searchsorted(-length, -end, side="right"))
+                        if k > order:
+                            suf = prefix[:rows, end] - prefix[:rows, end - order] * _power(order)
+                            found.append((prefix[:rows, end], prefix[:rows, end - 1], suf, np.full(rows, True), weight[:rows]))
+                            continue
                         g = prefix[:rows, end] - prefix[:rows, end - k] * _power(k)
                         pre = prefix[:rows, end - 1] - prefix[:rows, end - k] * _power(k - 1)
                         suf = prefix[:rows, end] - prefix[:rows, end - k + 1] * _power(k - 1)
@@ -124,8 +129,9 @@ def _discounts(level: DataFrame) -> dict[int, tuple[float, float, float]]:
     return out
 
 
-def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, most: int = 1 << 20) -> dict[str, np.ndarray]:
+def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, most: int = 1 << 20, whole: bool = False) -> dict[str, np.ndarray]:
     """The table that `Scorer` reads, from the counts of `count_grams`."""
+    order += whole
     grams = stored(grams, "gram-counts")
     tall = grams.where("k > 2")
     least = least_kept(tall, "n", most)
@@ -191,8 +197,8 @@ def _packed(tables: list[pa.Table], classes: int) -> dict[str, np.ndarray]:
 class Scorer:
     """log-likelihoods of words under every class, and their characters."""
 
-    def __init__(self, model: dict[str, np.ndarray], order: int):
-        self.model, self.order = model, order
+    def __init__(self, model: dict[str, np.ndarray], order: int, whole: bool = False):
+        self.model, self.order, self.whole = model, order, whole
         self.classes = model["p"].shape[1]
 
     def _find(self, key: np.ndarray) -> np.ndarray:
@@ -210,8 +216,8 @@ class Scorer:
         for end in range(2, prefix.shape[1]):
             rows = int(np.searchsorted(-length, -end, side="right"))
             now, p = [], None
-            for k in range(1, min(self.order, end) + 1):
-                at = self._find(prefix[:rows, end] - prefix[:rows, end - k] * _power(k))
+            for k in range(1, min(self.order + self.whole, end) + 1):
+                at = self._find(prefix[:rows, end] - prefix[:rows, end - k] * _power(k) if k <= self.order else prefix[:rows, end])
                 now.append(at)
                 known = p_of[at]
                 known[at < 0] = np.nan
@@ -219,7 +225,7 @@ class Scorer:
                     p = known
                     p[np.isnan(p)] = _UNSEEN
                 else:
-                    context = before[k - 2][:rows]
+                    context = before[min(k - 2 + (k > self.order), len(before) - 1)][:rows]
                     rest = np.where((context >= 0)[:, None], rest_of[context], 1.0)
                     p = np.where(np.isnan(known), rest * p, known)
             sums[:rows] += np.log(np.maximum(p, 1e-30))

@@ -1,12 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Toxic and ordinary labelled texts give two character models; what is rare backs off to counts that both share. A text's
-evidence is the log-likelihood ratio of its most toxic passage (a window of words), divided by the passage's length, so a
-few words in a long text count as much as in a short one; every window of the whole text is looked at. A logistic curve
-turns the evidence into a probability. Of the rows that labels may be learned from, four parts: three fit the models, one
-fits the curve, so that the curve sees evidence as new texts give it.
+Toxic and ordinary labelled texts give two models of words, character by character; what is rare backs off to counts that
+both share. A text's evidence is the log-likelihood ratio divided by length: of the whole text, and of its most toxic
+passage of one, eight and 64 words, so that a few words in a long text count as much as in a short one; every window of the
+whole text is looked at. Ratios beyond one nat per character count as one. A logistic regression turns the evidence into a probability. Of the rows that labels may be learned
+from, four parts: three fit the models, one fits the regression, so that it sees evidence as new texts give it.
 
-Edge cases. Null text, or no word: evidence 0. Fewer words than a window: one window. Null id: no label. Repeated labels of
+Edge cases. Null text, or no word: evidence 0. Fewer words than a window: the whole text. Null id: no label. Repeated labels of
 an id: the highest counts. Null label: none. No label of a class: the score is the smoothed share of toxic labels. Words of
 over 32 characters are read in parts. Rows are never combined otherwise. Other columns are not read.
 """
@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from cohortlens.llm.text import small_batches
 from cohortlens.session import settle, ship_package, stored
 
 _MARKS = {i: " " for i in range(33, 127) if not chr(i).isalnum()}
-ORDER, SHARED, WINDOW = 5, 2, 8
+ORDER, SHARED, WINDOWS = 5, 2, (1, 8, 64)
 
 
 def bare_words(text: str) -> list[str]:
@@ -49,25 +51,28 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         labelled(labels).where("fold != 4").hint("shuffle_hash"), "doc_id").select("cls", "text")
     words = stored(count_words(texts, bare_words), "class-words")
-    return fit(count_grams(words, ORDER), ORDER, 2, SHARED)
+    return fit(count_grams(words, ORDER, True), ORDER, 2, SHARED, whole=True)
 
 
-def passages(ratio: np.ndarray, size: np.ndarray) -> float:
-    """The highest ratio per character over all windows of words."""
+def passages(ratio: np.ndarray, size: np.ndarray) -> list[float]:
+    """Ratio per character: of all words, and the highest over all windows of each width."""
     if not len(ratio):
-        return 0.0
-    width = min(WINDOW, len(ratio))
+        return [0.0] * (1 + len(WINDOWS))
     r, s = (np.concatenate([[0.0], np.cumsum(x)]) for x in (ratio, size))
-    return float(((r[width:] - r[:-width]) / (s[width:] - s[:-width])).max())
+    out = [r[-1] / s[-1]]
+    for width in WINDOWS:
+        width = min(width, len(ratio))
+        out.append(((r[width:] - r[:-width]) / (s[width:] - s[:-width])).max())
+    return np.clip(out, -1.0, 1.0).tolist()
 
 
 def evidence(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, evidence of every row."""
+    """doc_id, evidence (whole text, then each window) of every row."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(Scorer(shared.value, ORDER))
+        scores = WordScores(Scorer(shared.value, ORDER, True))
         for batch in small_batches(batches, "text", 4 << 20):
             cut = [parts(bare_words(t or "")) for t in batch.column("text").to_pylist()]
             scores.learn(cut)
@@ -75,37 +80,23 @@ def evidence(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             for words in cut:
                 value = scores.of(words)
                 out.append(passages(value[:, 1] - value[:, 0], np.fromiter(map(len, words), np.int64, len(words)) + 1.0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        score, "doc_id long, evidence double")
-
-
-def curve(x: np.ndarray, cls: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of a slightly penalised logistic regression."""
-    toxic, every = float(n[cls == 1].sum()), float(n.sum())
-    if not toxic or toxic == every:
-        share = (toxic + 0.5) / (every + 1.0) if every else 0.05
-        return float(np.log(share / (1 - share))), 0.0
-    w = np.zeros(2)
-    design = np.stack([np.ones(len(x)), x])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(w @ design, -30, 30)))
-        slope = design @ (n * (cls - p)) - [0.0, 1e-3 * w[1]]
-        bend = (design * (n * np.maximum(p * (1 - p), 1e-9))) @ design.T + np.diag([1e-9, 1e-3])
-        step = np.linalg.solve(bend, slope)
-        w += step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1])
+        score, "doc_id long, evidence array<double>")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, evidence, score."""
     found = settle(evidence(docs, train(docs, labels)))
-    # evidence in steps of 1/200 nat: a bounded table for the driver, however many labels there are
-    rows = found.join(labelled(labels).where("fold = 4"), "doc_id").groupBy(
-        F.round(F.least(F.greatest(F.col("evidence"), F.lit(-10.0)), F.lit(10.0)) * 200).alias("x"), "cls").agg(
-        F.count(F.lit(1)).alias("n")).toArrow()
-    a, b = curve(*(rows.column(c).to_numpy().astype(float) / s for c, s in (("x", 200), ("cls", 1), ("n", 1))))
-    return found.withColumn("score", 1.0 / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * F.col("evidence")))))
+    rows = settle(found.join(labelled(labels).where("fold = 4"), "doc_id").select(
+        F.col("cls").cast("double").alias("label"), array_to_vector("evidence").alias("features")))
+    counts = {int(r["label"]): r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    every = sum(counts.values())
+    if len(counts) < 2:
+        share = (counts.get(1, 0) + 0.5) / (every + 1.0) if every else 0.05
+        return found.withColumn("score", F.lit(share))
+    model = LogisticRegression(regParam=1e-5, maxIter=100).fit(rows)
+    weights, start = model.coefficients.toArray().tolist(), model.intercept
+    total = sum((F.lit(w) * F.col("evidence")[i] for i, w in enumerate(weights)), F.lit(start))
+    return found.withColumn("score", 1.0 / (1.0 + F.exp(-total)))
