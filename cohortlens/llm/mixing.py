@@ -119,10 +119,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.
     cut = F.expr(f"CASE WHEN size > 0 THEN sequence(__before div {block_words}, (__before + size - 1) div {block_words}) END")
     start = F.greatest(F.col("__before"), F.col("block") * block_words)
     end = F.least(F.col("__before") + F.col("size"), (F.col("block") + 1) * block_words)
+    if with_text:  # split once per document, before its rows are made
+        laid = laid.withColumn("__words", word_array(F.col("__text"))).drop("__text")
     pieces = laid.withColumn("block", F.explode_outer(cut)).withColumn("from_word", start - F.col("__before")).withColumn(
         "words", F.coalesce(end - start, F.lit(0))).withColumn("__row", F.struct("__cell", "__rank"))
     out = ["__stratum", "__row", "doc_id", "source", "size", "source_size", "target", "block", "from_word", "words"]
-    text = [F.array_join(F.slice(word_array(F.col("__text")), (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")), " ").alias(
+    text = [F.array_join(F.slice("__words", (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")), " ").alias(
         "text")] if with_text else []
     pieces = pieces.select(*out, *text, *[F.col("__keep")[c].alias(c) for c in keep])
     slots = block_slots(targets, block_words, shard_slots, seed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ def identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share 90 % of their three-word shingles."""
-    return jaccard_join.jaccard_groups(_read(spark, sf_dir, "documents"), 3, 90, 100)
+    return jaccard_join.jaccard_groups(_read(spark, sf_dir, "documents"), 3, 90, 100).select(
+        "doc_id", "n_shingles", "component_id")
 
 
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op8_archive_pages": archive_pages,
         "op9_count_tokens": count_tokens,
         "op10_score_toxicity": score_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
