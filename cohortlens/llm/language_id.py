@@ -45,10 +45,7 @@ class Lattice:
     """All pieces inside words, and sums over segmentations."""
 
     def __init__(self, pieces: list[str]):
-        powers = [np.uint64(1)]
-        for _ in range(_LONGEST + 2):
-            powers.append(powers[-1] * _BASE)
-        self.powers = np.array(powers, np.uint64)
+        self.powers = np.array([pow(int(_BASE), i, 1 << 64) for i in range(_LONGEST + 3)], np.uint64)
         kept = [i for i, p in enumerate(pieces) if len(p) <= _LONGEST + 1]
         self.longest = max((len(pieces[i]) for i in kept), default=1)
         keys = np.array([self._hash(pieces[i]) for i in kept], np.uint64)
