@@ -43,22 +43,22 @@ def _path_correction(n: np.ndarray) -> np.ndarray:
 
 
 def fit_forest(feat: DataFrame, columns: Sequence[str], trees: int = 100, rows_per_tree: int = 256, seed: int = 42) -> pd.DataFrame:
-    """Node table of the forest. Every tree is grown in a task on at most `rows_per_tree` sampled rows."""
+    """Node table of the forest. Every tree is grown in a task on about `rows_per_tree` rows, the forest's documented sample size."""
     ship_package(feat.sparkSession)
     n = feat.count()
-    need = trees * rows_per_tree
     data = feat.select("customer_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    # rows are dealt to trees by hash; a small table is dealt to several trees per row instead
-    copies = max(1, -(-need // max(1, n))) if n < need else 1
-    space = 1 << 40
-    thin = data if n < need else data.where(
-        F.pmod(F.xxhash64("customer_id", F.lit(seed)), F.lit(space)) < F.lit(int(space * min(1.0, 1.5 * need / n))))
-    dealt = thin.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(min(copies, trees))))).withColumn(
-        "tree", F.pmod(F.xxhash64("customer_id", "copy", F.lit(seed)), F.lit(trees)).cast("int")).withColumn(
-        "__order", F.xxhash64("customer_id", "copy", "tree")).drop("copy").dropDuplicates(["customer_id", "tree"])
+    # every row is dealt to trees * rows_per_tree / n trees, the fraction by hash: the same rule at every size, and a tree gets
+    # about `rows_per_tree` rows, or all rows of a smaller table
+    rate = min(float(trees), trees * rows_per_tree / max(1, n))
+    part = F.pmod(F.xxhash64("customer_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor(F.lit(rate)) + (part < rate - int(rate)).cast("int")
+    first = F.xxhash64("customer_id", F.lit(seed + 1))
+    dealt = data.withColumn("__n", copies).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).withColumn(
+        "tree", F.pmod(first + F.col("copy"), F.lit(trees)).cast("int")).withColumn(
+        "__order", F.xxhash64("customer_id", "tree")).drop("copy", "__n")
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__order").head(rows_per_tree)
+        pdf = pdf.sort_values(["__order", "customer_id"])
         x = pdf[list(columns)].to_numpy(dtype=float)
         limit = int(np.ceil(np.log2(max(2, len(x)))))
         nodes = _grow(x, np.random.default_rng([seed, int(key[0])]), limit)
@@ -83,7 +83,7 @@ def detect_anomalies(
         child = np.array([[index.get(2 * int(v) + 1, -1), index.get(2 * int(v) + 2, -1)] for v in part["node"]])
         forest.append((part["feature"].to_numpy(), part["threshold"].to_numpy(), child,
                        part["depth"].to_numpy() + _path_correction(part["size"].to_numpy())))
-    norm = float(_path_correction(np.array([min(rows_per_tree, int(nodes.loc[nodes["node"] == 0, "size"].max()))]))[0]) or 1.0
+    norm = float(_path_correction(np.array([int(nodes.loc[nodes["node"] == 0, "size"].median())]))[0]) or 1.0
     shared = feat.sparkSession.sparkContext.broadcast(forest)  # bounded by the number of trees
 
     @F.pandas_udf(T.DoubleType())

@@ -134,11 +134,14 @@ def entity_features(
     """Feature vector per entity of a canonical table.
 
     Entities with no recognised event type are read as order-only: every row is a purchase. The long-window
-    columns are real windows; the all-time figures keep plain names.
+    columns are real windows; the all-time figures keep plain names. Rows without a time count as of the cutoff, so
+    every entity gets a row; without any time the cutoff must be given.
     """
     cutoff = cutoff or canon.agg(F.max("timestamp")).first()[0]
-    at, ts, c = as_ts(cutoff), F.col("timestamp"), F.col
-    canon = canon.where(ts <= at)
+    if cutoff is None and not canon.isEmpty():
+        raise ValueError("no row has a readable time: give a cutoff")
+    at, ts, c = as_ts(cutoff or datetime(1970, 1, 1)), F.col("timestamp"), F.col
+    canon = canon.withColumn("timestamp", F.coalesce(ts, at)).where(ts <= at)
     short, middle, long = windows
     spans = {"": F.lit(True), "_7d": ts >= at - days(short), "_30d": ts >= at - days(middle),
              "_90d": ts >= at - days(long)}

@@ -77,8 +77,8 @@ def event_type_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_profile(df: DataFrame, exact: bool = True, samples: int = 5) -> DataFrame:
-    """One row per column: kind, distinct values, nulls, samples, minimum, maximum, mean.
+def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row per column: kind, distinct values, nulls, least and greatest value as text, minimum, maximum, mean.
 
     With `exact=False` distinct counts come from sketches and the table is read in a single pass; with exact
     counts each column's values are shuffled once, folded on the map side.
@@ -91,19 +91,19 @@ def column_profile(df: DataFrame, exact: bool = True, samples: int = 5) -> DataF
         stats += [(F.lit(None).cast("long") if exact else F.approx_count_distinct(col, 0.01)).alias(f"d{i}"),
                   count_where(col.isNull()).alias(f"n{i}"), (F.min(col).cast("double") if num else nothing).alias(f"lo{i}"),
                   (F.max(col).cast("double") if num else nothing).alias(f"hi{i}"),
-                  (F.avg(col) if num else nothing).alias(f"mean{i}")]
+                  (F.avg(col) if num else nothing).alias(f"mean{i}"),
+                  (F.coalesce(count_where(looks_like_date(col)) >= 0.75 * F.greatest(F.count(col), F.lit(1)), F.lit(False))
+                   if types[c] == "string" else F.lit(types[c].startswith(("timestamp", "date")))).alias(f"t{i}"),
+                  F.array_compact(F.array_distinct(F.array(F.min(col.cast("string")), F.max(col.cast("string"))))).alias(f"s{i}")]
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *stats)
-    first_rows = df.limit(20).collect()  # twenty rows, to show samples and test text for dates
     per_column = []
     for i, c in enumerate(df.columns):
-        shown = [r[c] for r in first_rows if r[c] is not None]
-        dated = types[c].startswith(("timestamp", "date")) or (types[c] == "string" and _look_like_dates(shown))
         per_column.append(F.struct(
-            F.lit(c).alias("column_name"), F.lit(types[c]).alias("raw_dtype"), F.lit(dated).alias("__dated"),
+            F.lit(c).alias("column_name"), F.lit(types[c]).alias("raw_dtype"), F.col(f"t{i}").alias("__dated"),
             F.lit(is_numeric(types[c])).alias("__num"), F.lit(_named_id(c)).alias("__named_id"),
             F.col(f"d{i}").alias("__sketch"), F.col(f"n{i}").alias("null_count"),
             F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"mean{i}").alias("mean"),
-            F.lit([str(v) for v in shown[:samples]]).cast("array<string>").alias("sample_values")))
+            F.col(f"s{i}").alias("sample_values")))
     rows = F.greatest(F.col("rows"), F.lit(1))
     tall = wide.select("rows", F.explode(F.array(*per_column)).alias("p")).select("rows", "p.*")
     if exact:
@@ -128,11 +128,9 @@ def _named_id(name: str) -> bool:
     return re.search(r"\b(id|key|uuid|guid|code|pk)\b", name, re.I) is not None
 
 
-def _look_like_dates(values: list, need: int = 15) -> bool:
-    import pandas as pd
-    if len(values) < need:
-        return False
-    return int(pd.to_datetime(pd.Series([str(v) for v in values]), errors="coerce", format="mixed").notna().sum()) >= need
+def looks_like_date(text: Column) -> Column:
+    """Text that reads as a date or a time; plain numbers do not."""
+    return text.rlike("[0-9][-/:.][0-9]") & text.try_cast("timestamp").isNotNull()
 
 
 def table_profile(df: DataFrame) -> DataFrame:

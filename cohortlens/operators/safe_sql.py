@@ -1,34 +1,102 @@
-"""Guarded read-only SQL over registered tables."""
+"""Guarded read-only SQL over registered tables, decided on the parsed plan."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
-# Statements a read-only query must not contain.
-FORBIDDEN = ["INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "CREATE", "GRANT", "REVOKE", "REPLACE",
-             "ATTACH", "DETACH", "PRAGMA", "EXEC"]
+# What a query may be made of. Anything else (commands, script transformation, file relations, table functions) is refused.
+QUERY_NODES = {
+    "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "SubqueryAlias", "Distinct", "Union", "Except",
+    "Intersect", "UnresolvedRelation", "UnresolvedHaving", "UnresolvedWith", "OneRowRelation", "WithWindowDefinition",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedInlineTable", "Pivot", "Unpivot", "UnresolvedOrdinal"}
+# Functions that leave SQL: they call the JVM or look at files.
+FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length"}
+_SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
 
 
 class UnsafeQuery(ValueError):
-    """The query is not a single read-only SELECT."""
+    """The query is not a single read-only SELECT over the registered tables."""
 
 
-def is_safe(query: str) -> bool:
-    text = query.strip()
-    statements = [s for s in text.split(";") if s.strip()]
-    return (
-        re.match(r"(SELECT|WITH)\b", text, re.I) is not None
-        and len(statements) == 1
-        and re.search(r"\b(" + "|".join(FORBIDDEN) + r")\b", text, re.I) is None)
+def _each(seq) -> Iterator:
+    for i in range(seq.size()):
+        yield seq.apply(i)
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _refuse(why: str) -> None:
+    raise UnsafeQuery(why)
+
+
+def _check_expression(expr, known: set[str]) -> None:
+    kind = _kind(expr)
+    if kind in _SUBQUERIES:
+        _check_plan(expr.plan(), known)
+    if kind == "UnresolvedFunction":
+        name = [str(x).lower() for x in _each(expr.nameParts())]
+        if len(name) > 1 or name[0] in FORBIDDEN_FUNCTIONS:
+            _refuse(f"function {'.'.join(name)} is not allowed")
+    for child in _each(expr.children()):
+        _check_expression(child, known)
+
+
+def _check_plan(plan, known: set[str]) -> None:
+    kind = _kind(plan)
+    if kind not in QUERY_NODES:
+        _refuse(f"{kind} is not allowed")
+    if kind == "UnresolvedRelation":
+        parts = [str(x).lower() for x in _each(plan.multipartIdentifier())]
+        if len(parts) > 1 or parts[0] not in known:
+            _refuse(f"table {'.'.join(parts)} is not registered")
+    if kind == "UnresolvedWith":
+        for pair in _each(plan.cteRelations()):
+            _check_plan(pair._2(), known)  # a table expression sees those before it
+            known = known | {str(pair._1()).lower()}
+    for expr in _each(plan.expressions()):
+        _check_expression(expr, known)
+    for child in _each(plan.children()):
+        _check_plan(child, known)
+
+
+def _parsed(spark: SparkSession, query: str, known: set[str]):
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query.strip().rstrip(";").strip())
+    except Exception as bad:  # several statements do not parse either
+        raise UnsafeQuery("only a single SELECT or WITH statement is allowed") from bad
+    try:
+        _check_plan(plan, {k.lower() for k in known})
+    except Py4JJavaError as bad:
+        raise UnsafeQuery("the query cannot be checked") from bad
+    return plan
+
+
+def is_safe(spark: SparkSession, query: str, *tables: str) -> bool:
+    try:
+        _parsed(spark, query, set(tables))
+    except UnsafeQuery:
+        return False
+    return True
 
 
 def safe_sql(spark: SparkSession, query: str, limit: int = 50, **tables: DataFrame) -> DataFrame:
-    """Run a read-only query; without a LIMIT of its own the plan is limited to `limit` rows."""
-    if not is_safe(query):
-        raise UnsafeQuery("only a single SELECT or WITH statement is allowed")
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    out = spark.sql(query.strip().rstrip(";"))
-    return out if re.search(r"\bLIMIT\b", query, re.I) else out.limit(limit)
+    """Run a read-only query over `tables` only; unless its outermost step is a LIMIT, `limit` rows are returned at most."""
+    plan = _parsed(spark, query, set(tables))
+    taken = [name for name in tables if spark.catalog.tableExists(name)]
+    if taken:
+        raise ValueError(f"views of these names exist: {taken}")
+    try:
+        for name, df in tables.items():
+            df.createTempView(name)
+        out = spark.sql(query.strip().rstrip(";"))  # resolved here, so the views are not needed any longer
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+    while _kind(plan) == "UnresolvedWith":
+        plan = plan.child()
+    return out if _kind(plan) == "GlobalLimit" else out.limit(limit)

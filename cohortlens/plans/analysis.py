@@ -37,10 +37,12 @@ def run_analysis(
         return mode, report
     # written once: traffic, features, affinity and the series all read it
     canon = stored(canonical.to_canonical(df, mapping, as_of=as_of), "canonical")
+    # rows without a readable time count as of the latest one, or of today if there is none
+    as_of = as_of or canon.agg(F.max("timestamp")).first()[0] or datetime.now()
     report["hourly_traffic"], report["weekday_demand"] = traffic.hourly_traffic(canon), traffic.weekday_demand(canon)
     report["funnel"] = traffic.funnel(canon)
     report["category_demand"] = traffic.category_demand(canon, column="category")
-    feat = settle(canonical.entity_features(canon, windows=windows))
+    feat = settle(canonical.entity_features(canon, as_of, windows=windows))
     report["features"] = feat
     low, high = feat.agg(F.min("first_seen"), F.max("last_seen")).first()
     span = max(1.0, (high - low).total_seconds() / 86400.0) if low is not None else 1.0

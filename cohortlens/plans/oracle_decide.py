@@ -447,15 +447,15 @@ SELECT customer_id, total_revenue, current_state, round(recency_days - r, 6) AS
        CASE WHEN churn_probability >= 0.50 THEN 'HIGH RISK' WHEN churn_probability >= 0.25 THEN 'MEDIUM RISK'
             ELSE 'STABLE / LOW RISK' END AS risk_tier,
        CASE current_state
-         WHEN 'NEW' THEN 'Account with 0 historical purchases; initialized in discovery state.'
-         WHEN 'EXPLORING' THEN 'Browsing/cart activity without completed conversion.'
-         WHEN 'ENGAGED' THEN 'Active multi-event session frequency with steady velocity.'
-         WHEN 'CONVERTING' THEN 'Recent purchase conversion within active observation window.'
-         WHEN 'LOYAL' THEN 'High cumulative spend and repeat purchase order velocity.'
-         WHEN 'DECLINING' THEN 'Engagement velocity decreased by >40% relative to individual baseline.'
-         WHEN 'AT_RISK' THEN 'Inactivity interval exceeds cohort threshold with high churn probability.'
-         WHEN 'DORMANT' THEN 'No transactions or interactions for extended elapsed period.'
-         ELSE 'Re-activated customer exhibiting return purchase momentum.' END AS state_rule_rationale,
+         WHEN 'NEW' THEN 'No order so far.'
+         WHEN 'EXPLORING' THEN 'Looks at items or fills a basket, but has not bought.'
+         WHEN 'ENGAGED' THEN 'Comes back regularly at a steady pace.'
+         WHEN 'CONVERTING' THEN 'Bought within the current window.'
+         WHEN 'LOYAL' THEN 'Buys again and again, and spends much in total.'
+         WHEN 'DECLINING' THEN 'Activity fell by more than 40 % of the customer''s own level.'
+         WHEN 'AT_RISK' THEN 'Silent for longer than usual, and likely to leave.'
+         WHEN 'DORMANT' THEN 'Silent for a long time.'
+         ELSE 'Was silent and buys again.' END AS state_rule_rationale,
        total_revenue >= t AND t > 0 AS is_vip_outlier, action_type, expected_impact FROM prof, m"""
     q["j16_consistency"] = chain(*ORDER_TABLES, PROFILE) + """
 SELECT prof.customer_id, churn_probability AS p_360, predicted_probability AS p_pred, 0.0::DOUBLE AS difference,

@@ -384,9 +384,13 @@ def test_revenue_counts_on_purchases_only(spark):
 @pytest.mark.parametrize("q,ok", [
     ("SELECT 1 AS x", True), ("with a as (select 1 AS x) select * from a", True), ("DROP TABLE x", False),
     ("DELETE FROM x", False), ("UPDATE x SET a = 1", False), ("TRUNCATE TABLE x", False),
-    ("SELECT 1; DROP TABLE x", False), ("SELECT 1 AS x;", True)])
+    ("SELECT 1; DROP TABLE x", False), ("SELECT 1 AS x;", True), ("SELECT TRANSFORM(1) USING 'cat' AS (a)", False),
+    ("SELECT reflect('java.lang.System', 'nanoTime')", False), ("SELECT java_method('java.lang.System', 'nanoTime')", False),
+    ("SELECT * FROM parquet.`/tmp`", False), ("SELECT * FROM elsewhere", False), ("SELECT * FROM range(5)", False),
+    ("SELECT (SELECT try_reflect('java.lang.System', 'nanoTime'))", False), ("SELECT 1 WHERE EXISTS (SELECT * FROM csv.`/etc`)", False),
+    ("INSERT INTO x SELECT 1", False), ("SELECT count(*) AS n FROM (SELECT 1 LIMIT 1)", True), ("SELECT 'drop; limit' AS x", True)])
 def test_sql_guard(spark, q, ok):
-    assert safe_sql.is_safe(q) == ok
+    assert safe_sql.is_safe(spark, q) == ok
     if ok:
         assert safe_sql.safe_sql(spark, q).count() == 1
     else:
@@ -394,6 +398,13 @@ def test_sql_guard(spark, q, ok):
             safe_sql.safe_sql(spark, q)
 
 
+def test_sql_bound_follows_the_outer_query(spark):
+    t = spark.range(500).toDF("i")
+    assert safe_sql.safe_sql(spark, "SELECT * FROM (SELECT * FROM t LIMIT 300)", limit=20, t=t).count() == 20
+    assert safe_sql.safe_sql(spark, "WITH a AS (SELECT i FROM t) SELECT * FROM a ORDER BY i LIMIT 30", limit=20, t=t).count() == 30
+    assert not spark.catalog.tableExists("t")
+
+
 def test_sql_limit_is_added_only_when_missing(spark):
     t = spark.range(100)
     assert safe_sql.safe_sql(spark, "SELECT * FROM t", 7, t=t).count() == 7
@@ -417,3 +428,26 @@ def test_old_explanations_are_read(spark):
     assert [d["feature"] for d in e["drivers"]] == ["aov", "recency_days", "views_7d"]
     assert e["top_risk_factor"]["feature"] == "recency_days"
     assert [d["feature"] for d in e["protective_drivers"]] == ["aov"]
+
+
+def test_types_follow_all_values(spark):
+    """A column that is null at first, and dates below other text, are read whole."""
+    from cohortlens.operators import detection, quality
+    rows = [(i, None if i < 300 else f"u{i}@mail.org", f"2024-01-{i % 28 + 1:02d}", "x" if i < 20 else f"2024-02-{i % 28 + 1:02d}") for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, contact string, d string, late string").coalesce(1)
+    got = {r["column_name"]: r["detected_semantic_type"] for r in detection.detect_columns(df).collect()}
+    assert got["contact"] == "EMAIL" and got["d"] == "DATE" and got["late"] == "DATE"
+    kinds = {r["column_name"]: r["detected_type"] for r in quality.column_profile(df).collect()}
+    assert kinds["d"] == kinds["late"] == "datetime"
+
+
+def test_rows_without_a_time_keep_their_entity(spark):
+    from cohortlens.operators import canonical
+    from cohortlens.plans.analysis import run_analysis
+    mapping = {"who": "CUSTOMER_ID", "at": "TIMESTAMP", "paid": "REVENUE"}
+    rows = [(f"c{i % 12}", "31/31/x" if i % 12 == 5 else f"2024-03-{i % 28 + 1:02d} 10:00:00", float(i)) for i in range(240)]
+    df = spark.createDataFrame(rows, "who string, at string, paid double")
+    assert canonical.entity_features(canonical.to_canonical(df, mapping)).count() == 12
+    timeless = spark.createDataFrame([(f"c{i % 40}", float(i)) for i in range(400)], "who string, paid double")
+    _, report = run_analysis(timeless, {"who": "CUSTOMER_ID", "paid": "REVENUE"})
+    assert report["features"].count() == 40
