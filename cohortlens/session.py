@@ -36,7 +36,7 @@ def build_session(app: str = "cohortlens", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: `spark.checkpoint.dir` of the session.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Only a session whose driver is its one executor may go without: it gets a temporary folder. Tests and the bench set one.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isEmpty():
         return current.get()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-"))
     return sc._jsc.sc().getCheckpointDir().get()
