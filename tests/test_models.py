@@ -38,6 +38,18 @@ def churn_model(planted):
     return churn.train_churn(planted, COLS, {"maxIter": 8}, calibrate=False)
 
 
+def test_calibrated_scores_meet_their_own_threshold(spark, planted):
+    model = churn.train_churn(planted, COLS, {"maxIter": 5}, calibrate=True)
+    assert len(model.calibrators) == 3
+    for r in churn.score_churn(model, planted).collect():
+        if not r["is_cold_start"]:
+            assert r["predicted_class"] == ("CHURN_RISK" if r["predicted_probability"] >= model.threshold else "RETAINED")
+    metrics = {r["model"]: r for r in model.metrics.collect()}
+    assert metrics["boosted_trees"]["roc_auc"] > 0.8
+    label = churn.predicted_class(F.lit(0.9), F.lit(True), 0.5, universal=True)
+    assert spark.range(1).select(label.alias("c")).first()["c"] == "NEW_CUSTOMER"
+
+
 def test_churn_learns_and_is_scored_in_bounds(planted, churn_model):
     m = {r["model"]: r for r in churn_model.metrics.collect()}
     assert m["boosted_trees"]["roc_auc"] > 0.85 and 0.05 <= churn_model.threshold <= 0.95
