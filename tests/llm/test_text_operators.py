@@ -166,6 +166,33 @@ def test_near_duplicate_groups(spark, monkeypatch):
     assert len({c for _, _, c in want}) < len(want) - 20  # the case is not trivial
 
 
+def chained(c, low, high, edits):
+    """Texts of which each is the one before with words put in or taken out."""
+    rnd = random.Random(c)
+    copy, chain = [f"c{c}v{i}" for i in range(rnd.randrange(low, high))], []
+    for _ in range(rnd.randrange(6, 41)):
+        chain.append(" ".join(copy))
+        copy = rnd.choice(chain[-1:]).split()
+        for _ in range(rnd.choice(edits)):
+            i = rnd.randrange(len(copy))
+            if rnd.random() < 0.5:
+                copy.insert(i, f"c{c}e{rnd.randrange(10**6)}")
+            else:
+                del copy[i]
+    return chain
+
+
+def test_near_duplicate_chains_of_different_sizes(spark):
+    """Beginnings that end together, of sets that differ in size: every list of a pair must count, whichever set is the stray."""
+    texts, want = [], []
+    for chain in [chained(180, 96, 112, (1, 2, 3)), *[chained(c, 48, 64, (1,)) for c in (151, 110, 311, 13)]]:
+        want += [(i + len(texts), n, low + len(texts)) for i, n, low in brute_groups(chain)]
+        texts += chain
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(docs, 3, 90, 100).collect())
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(messy, nothing):
     rows = jaccard_join.jaccard_groups(messy, 3, 90, 100).collect()
     assert len(rows) == messy.count()
