@@ -285,3 +285,36 @@ def test_contaminated_documents_are_found_and_others_left(spark, messy, nothing)
     assert two == got
     assert decontamination.contaminated(nothing, bench).count() == 0
     assert decontamination.contaminated(docs, bench.where("false")).count() == 0
+
+
+def planted(rnd, items, vocab, kept, rows):
+    """Documents that each hold the words of one item, of which a share is replaced; and the pairs."""
+    docs, holds = [], set()
+    for i in range(rows):
+        k = i % len(items)
+        item = items[k][1].split()
+        for j in rnd.sample(range(len(item)), int(len(item) * (1 - kept))):
+            item[j] = "other"
+        words = [rnd.choice(vocab) for _ in range(rnd.randrange(60, 200))]
+        at = rnd.randrange(len(words))
+        docs.append((i, " ".join(words[:at] + item + words[at:])))
+        holds.add((i, items[k][0]))
+    return docs, holds
+
+
+def test_contamination_in_a_third_of_the_rows(spark):
+    """Paraphrased copies make the words that they keep frequent, and the replaced ones are in no document."""
+    rnd = random.Random(4)
+    vocab = [f"t{i}" for i in range(4000)]
+    items = [(i, " ".join(rnd.sample(vocab, 56))) for i in range(20)]
+    copy = items[0][1].split()
+    for j in (3, 17, 30, 44):
+        copy[j] = f"other{j}"
+    docs = []
+    for i in range(600):
+        words = [rnd.choice(vocab) for _ in range(rnd.randrange(60, 200))]
+        docs.append((i, " ".join(words + copy + words[:40] if i % 3 == 0 else words)))
+    items[0] = (0, " ".join(w if copy[j] == w else f"seldom{j}" for j, w in enumerate(items[0][1].split())))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(*frames).collect()}
+    assert got == {(i, 0) for i in range(0, 600, 3)}
