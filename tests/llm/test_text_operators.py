@@ -318,3 +318,16 @@ def test_contamination_in_a_third_of_the_rows(spark):
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(*frames).collect()}
     assert got == {(i, 0) for i in range(0, 600, 3)}
+
+
+def test_contamination_by_a_long_item(spark):
+    """Items longer than any fixed span, word by word and with words replaced."""
+    rnd = random.Random(6)
+    vocab = [f"t{i}" for i in range(4000)]
+    items = [(n, " ".join(rnd.choice(vocab) for _ in range(n))) for n in (190, 220, 400, 1000)]
+    docs, holds = planted(rnd, items, vocab, 1.0, 8)
+    more, also = planted(rnd, items, vocab, 0.75, 8)
+    frame = spark.createDataFrame(docs + [(i + 100, t) for i, t in more], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(
+        frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == holds | {(i + 100, k) for i, k in also}
