@@ -331,3 +331,17 @@ def test_contamination_by_a_long_item(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(
         frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == holds | {(i + 100, k) for i, k in also}
+
+
+def test_contamination_by_more_items_than_the_rank(spark):
+    """Thousands of items in one block: verbatim, and with 70 % of the words."""
+    rnd = random.Random(8)
+    vocab = [f"t{i}" for i in range(6000)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(20, 60)))) for i in range(3000)]
+    assert len(items) > 10 * decontamination.RANK
+    docs, holds = planted(rnd, rnd.sample(items, 300), vocab, 1.0, 300)
+    more, also = planted(rnd, rnd.sample(items, 300), vocab, 0.72, 300)
+    frame = spark.createDataFrame(docs + [(i + 1000, t) for i, t in more], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(
+        frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got >= holds | {(i + 1000, k) for i, k in also}
