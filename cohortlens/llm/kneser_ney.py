@@ -6,8 +6,8 @@ without its first (what it backs off to). Continuation counts, context totals an
 these keys, spread over all tasks. Orders up to `shared` are counted over all classes together, so rare sequences back off
 to the same figures in every class.
 
-The finished table comes to the driver and is broadcast for scoring. It is bounded: of the orders above two, the most
-frequent n-grams are kept, `most` of them at most, and characters are taken from a bounded alphabet (code points).
+All n-grams are kept, so discounts and continuation counts are those of the whole text. The finished table comes to the
+driver and is broadcast for scoring: its memory grows with the distinct n-grams of the learned texts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.text import least_kept, small_batches
+from cohortlens.llm.text import small_batches
 from cohortlens.session import settle, ship_package, stored
 
 _BASE = np.uint64(0x100000001B3)
@@ -129,17 +129,14 @@ def _discounts(level: DataFrame) -> dict[int, tuple[float, float, float]]:
     return out
 
 
-def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, most: int = 1 << 20, whole: bool = False) -> dict[str, np.ndarray]:
+def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, whole: bool = False) -> dict[str, np.ndarray]:
     """The table that `Scorer` reads, from the counts of `count_grams`."""
     order += whole
     grams = stored(grams, "gram-counts")
-    tall = grams.where("k > 2")
-    least = least_kept(tall, "n", most)
-    kept = grams.where((F.col("k") <= 2) | (F.col("n") >= least))
     lower, tables = None, []
     for k in range(1, order + 1):
         def at(j: int, pooled: bool) -> DataFrame:
-            own = kept.where(F.col("k") == j)
+            own = grams.where(F.col("k") == j)
             return own if not pooled else own.groupBy("g").agg(
                 F.max("pre").alias("pre"), F.max("suf").alias("suf"), F.max("start").alias("start"), F.sum("n").alias("n")).withColumn(
                 "cls", F.lit(_POOLED))

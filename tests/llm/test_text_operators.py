@@ -213,6 +213,18 @@ def test_kneser_ney_is_a_distribution(spark):
         assert (score.likelihoods(["ab"]) > score.likelihoods(["bb"])).all()
 
 
+def test_kneser_ney_keeps_rare_grams(spark):
+    """More n-grams than any fixed table holds: those of count one stay as well."""
+    rnd = random.Random(12)
+    rows = [("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=16)),) for _ in range(60_000)]
+    words = spark.createDataFrame(rows, "word string").select(F.lit(0).alias("cls"), "word", F.lit(1).cast("long").alias("n"))
+    grams = kneser_ney.count_grams(words, 5).persist()
+    assert grams.where("k > 2").count() > 1 << 20
+    model = kneser_ney.fit(grams, 5, 1)
+    assert np.isin(grams.select("g").toArrow().column("g").to_numpy().view(np.uint64), model["keys"]).all()
+    grams.unpersist()
+
+
 def test_toxicity_and_perplexity(spark, sf_dir, messy, nothing, labels):
     rnd = random.Random(9)
     plain = [f"w{i}" for i in range(60)]
