@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, jaccard_join, language_id, mixing, oracle, perplexity, quality_rules, sharding, token_counts, toxicity, warc
+from cohortlens.llm import decontamination, jaccard_join, language_id, mixing, oracle, perplexity, quality_rules, sharding, spelling, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,12 @@ def find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def group_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, those one edit away, and the common form of each."""
+    words = spelling.count_words(_read(spark, sf_dir, "documents"), 7, 31)
+    return spelling.group_variants(words.where("n >= 2"), 10)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": quality_rules_query,
@@ -91,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op8_archive_pages": archive_pages,
         "op9_count_tokens": count_tokens,
         "op10_score_toxicity": score_toxicity,
+        "op11_group_spellings": group_spellings,
         "pipeline": corpus_pipeline.run,
     }
 
