@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, jaccard_join, language_id, mixing, oracle, perplexity, quality_rules, sharding, spelling, token_counts, toxicity, warc
+from cohortlens.llm import decontamination, jaccard_join, language_id, mixing, oracle, perplexity, quality_rules, sharding, spelling, token_counts, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,11 @@ def group_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(words.where("n >= 2"), 10)
 
 
+def whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the four leading components."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"), 4)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": quality_rules_query,
@@ -98,6 +103,7 @@ def queries() -> dict[str, Query]:
         "op9_count_tokens": count_tokens,
         "op10_score_toxicity": score_toxicity,
         "op11_group_spellings": group_spellings,
+        "op12_whiten_embeddings": whiten_embeddings,
         "pipeline": corpus_pipeline.run,
     }
 
