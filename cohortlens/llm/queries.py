@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, jaccard_join, language_id, mixing, oracle, perplexity, quality_rules, sharding, spelling, token_counts, toxicity, warc, whitening
+from cohortlens.llm import decontamination, jaccard_join, language_id, mixing, oracle, perplexity, personal_data, quality_rules, sharding, spelling, token_counts, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,12 @@ def whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"), 4)
 
 
+def find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text, by patterns and by a tagger trained on their spans."""
+    docs = _read(spark, sf_dir, "documents")
+    return personal_data.digest(personal_data.find_personal_data(docs, personal_data.learn(docs)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": quality_rules_query,
@@ -104,6 +110,7 @@ def queries() -> dict[str, Query]:
         "op10_score_toxicity": score_toxicity,
         "op11_group_spellings": group_spellings,
         "op12_whiten_embeddings": whiten_embeddings,
+        "op13_find_personal_data": find_personal_data,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -1,15 +1,18 @@
 """Per-customer attribution of boosted-tree margins, and the explanation built from it.
 
-A leaf of a shallow tree depends on a row only through which of the few features on its path stay inside the
-path's bounds. So the Shapley values of each leaf are tabulated once per pattern of satisfied features from the
-training covers (at most 2^depth patterns), and scoring a batch is a table look-up per leaf.
+A leaf counts as long as a row keeps to the bounds of the features on its path: a product of one factor per feature, which
+is 0 or 1 for a row and the training cover for an absent feature. The Shapley value of a feature of such a product is an
+integral, over the share t of features present, of the product of the others' mixed factors (1 - t) cover + t inside: a
+polynomial of degree d - 1, which Gauss-Legendre nodes give exactly. So a leaf of d features costs d * d / 2 steps and not
+2^d. Shallow leaves (up to `TABULATED` features) are tabulated per pattern of satisfied features, once per worker; deeper
+ones are worked out for the patterns that occur in a batch.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import product
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,33 +23,43 @@ from pyspark.sql import types as T
 
 from cohortlens.session import scratch_path, ship_package
 
+TABULATED = 5
 
-def _leaf_values(outcome: Sequence[float], covers: Sequence[float], satisfied: Sequence[int]) -> list[float]:
-    """Shapley values of the product game leaf * prod(satisfied or cover) over the features of one path."""
-    d = len(covers)
-    out = []
-    for i in range(d):
-        others = [j for j in range(d) if j != i]
-        total = 0.0
-        for chosen in product((0, 1), repeat=d - 1):
-            size = sum(chosen)
-            weight = math.factorial(size) * math.factorial(d - size - 1) / math.factorial(d)
-            part = 1.0
-            for j, inside in zip(others, chosen):
-                part *= satisfied[j] if inside else covers[j]
-            total += weight * part
-        out.append(outcome[0] * total * (satisfied[i] - covers[i]))
-    return out
-
-
-def leaf_table(model, spark) -> tuple[list[dict], float]:
-    """(one entry per leaf with its bounds and value table, expected margin). The size is that of the model."""
+
+@dataclass
+class Leaves:
+    """Leaves of one number of path features: arrays by leaf and feature, and the value of each leaf."""
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    covers: np.ndarray
+    values: np.ndarray
+
+
+def path_shares(covers: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Shapley values of the games prod(inside or cover); the features are on the last axis of both arrays."""
+    d = covers.shape[-1]
+    nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    total = 0.0
+    for t, w in zip((nodes + 1) / 2, weights / 2):
+        mixed = (1 - t) * covers + t * inside
+        ahead, behind = np.ones_like(mixed), np.ones_like(mixed)
+        for j in range(1, d):
+            ahead[..., j] = ahead[..., j - 1] * mixed[..., j - 1]
+            behind[..., d - 1 - j] = behind[..., d - j] * mixed[..., d - j]
+        total = total + w * ahead * behind
+    return total * (inside - covers)
+
+
+def leaf_paths(model, spark, scale: float = 1.0) -> tuple[dict[int, Leaves], float]:
+    """(leaves by their number of features, expected margin), both times `scale`. The size is that of the model."""
     path = scratch_path(spark, "trees")
     model.write().save(path)
     nodes: dict[int, dict[int, T.Row]] = {}
     for r in spark.read.parquet(f"{path}/data").collect():
         nodes.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
-    leaves, base = [], 0.0
+    found: dict[int, list] = {}
+    base = 0.0
     for tree, weight in enumerate(model.treeWeights):
         stack = [(0, {}, {})]
         while stack:
@@ -54,13 +67,11 @@ def leaf_table(model, spark) -> tuple[list[dict], float]:
             node = nodes[tree][at]
             if node["leftChild"] < 0:
                 feats = sorted(bounds)
-                value = weight * node["prediction"]
-                covers = [cover[f] for f in feats]
-                base += value * math.prod(covers)
+                value = scale * weight * node["prediction"]
+                base += value * math.prod(cover[f] for f in feats)
                 if feats:
-                    table = [_leaf_values([value], covers, bits) for bits in product((0, 1), repeat=len(feats))]
-                    leaves.append({"features": feats, "low": [bounds[f][0] for f in feats],
-                                   "high": [bounds[f][1] for f in feats], "table": np.array(table)})
+                    found.setdefault(len(feats), []).append((
+                        feats, [bounds[f][0] for f in feats], [bounds[f][1] for f in feats], [cover[f] for f in feats], value))
                 continue
             f, t = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
             low, high = bounds.get(f, (-math.inf, math.inf))
@@ -68,34 +79,64 @@ def leaf_table(model, spark) -> tuple[list[dict], float]:
             for child, piece in ((node["leftChild"], (low, min(high, t))), (node["rightChild"], (max(low, t), high))):
                 share = nodes[tree][child]["impurityStats"][0] / seen if seen else 0.0
                 stack.append((child, {**bounds, f: piece}, {**cover, f: cover.get(f, 1.0) * share}))
-    return leaves, base
-
-
-def _attribute(x: np.ndarray, leaves: list[dict]) -> np.ndarray:
-    out = np.zeros_like(x)
-    for leaf in leaves:
-        feats = leaf["features"]
-        code = np.zeros(len(x), dtype=np.int64)
-        for f, low, high in zip(feats, leaf["low"], leaf["high"]):
-            code = code * 2 + ((x[:, f] > low) & (x[:, f] <= high))
-        out[:, feats] += leaf["table"][code]
-    return out
-
-
-def tree_contributions(model, vectors: DataFrame, out: str = "contributions") -> tuple[DataFrame, float]:
-    """Add the contribution of every feature to the margin; they and the expected margin add up to the margin."""
+    return {d: Leaves(*(np.array(column) for column in zip(*rows))) for d, rows in found.items()}, base
+
+
+def joined_leaves(parts: Sequence[dict[int, Leaves]]) -> dict[int, Leaves]:
+    """The leaves of several models together."""
+    return {d: Leaves(*(np.concatenate([getattr(p[d], name) for p in parts if d in p])
+                        for name in ("features", "low", "high", "covers", "values")))
+            for d in sorted({d for p in parts for d in p})}
+
+
+class Attribution:
+    """Contributions of all leaves to rows of features; tables of shallow leaves are built at first use."""
+
+    def __init__(self, leaves: dict[int, Leaves]):
+        self.leaves = leaves
+        self.tables: dict[int, np.ndarray] = {}
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape)
+        for d, leaves in self.leaves.items():
+            bits = 1 << np.arange(d)
+            if d <= TABULATED and d not in self.tables:
+                patterns = (np.arange(1 << d)[:, None] & bits > 0).astype(float)
+                self.tables[d] = path_shares(leaves.covers[:, None, :], patterns[None]) * leaves.values[:, None, None]
+            for i, feats in enumerate(leaves.features):
+                own = x[:, feats]
+                code = ((own > leaves.low[i]) & (own <= leaves.high[i])) @ bits
+                if d <= TABULATED:
+                    out[:, feats] += self.tables[d][i][code]
+                    continue
+                seen, place = np.unique(code, return_inverse=True)
+                patterns = (seen[:, None] & bits > 0).astype(float)
+                out[:, feats] += (path_shares(leaves.covers[i], patterns) * leaves.values[i])[place]
+        return out
+
+
+def ensemble_contributions(models: Sequence[tuple[object, float]], vectors: DataFrame, out: str = "contributions") -> tuple[DataFrame, float]:
+    """Add the contribution of every feature to the sum of scale * margin over (model, scale); they and the expected sum,
+    which is returned, add up to it."""
     spark = vectors.sparkSession
     ship_package(spark)
-    leaves, base = leaf_table(model, spark)
-    shared = spark.sparkContext.broadcast(leaves)  # bounded by the model: trees times leaves
+    parts = [leaf_paths(model, spark, scale) for model, scale in models]
+    # bounded by the models: trees times leaves times depth, no table of patterns
+    shared = spark.sparkContext.broadcast(joined_leaves([leaves for leaves, _ in parts]))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def contributions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        attribution = Attribution(shared.value)
         for rows in batches:
             x = np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, 1))
-            yield pd.Series(list(_attribute(x, shared.value)))
+            yield pd.Series(list(attribution.of(x)))
+
+    return vectors.withColumn(out, contributions(vector_to_array(F.col("features")))), sum(base for _, base in parts)
 
-    return vectors.withColumn(out, contributions(vector_to_array(F.col("features")))), base
+
+def tree_contributions(model, vectors: DataFrame, out: str = "contributions") -> tuple[DataFrame, float]:
+    """Add the contribution of every feature to the margin; they and the expected margin add up to the margin."""
+    return ensemble_contributions([(model, 1.0)], vectors, out)
 
 
 def linear_contributions(model, vectors: DataFrame, out: str = "contributions") -> DataFrame:

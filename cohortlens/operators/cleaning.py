@@ -49,14 +49,19 @@ def drop_duplicate_events(df: DataFrame, whole_rows: bool = False) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
 
 
-def clean_events(df: DataFrame, whole_rows: bool = False) -> DataFrame:
-    """Standardised, typed, filtered and deduplicated events; ids and revenue are filled when absent."""
-    df = normalise_types(standardise_columns(df)).where(F.col("event_type").isin(CORE_EVENT_TYPES))
+def fill_events(df: DataFrame) -> DataFrame:
+    """Ids from the keys and revenue 0 where absent."""
     if "event_id" not in df.columns:
         keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in DEDUP_KEYS if c in df.columns]
         df = df.withColumn("event_id", F.sha2(F.concat_ws("|", *keys), 256))
     revenue = F.coalesce(F.col("revenue").try_cast("double"), F.lit(0.0)) if "revenue" in df.columns else F.lit(0.0)
-    return drop_duplicate_events(df.withColumn("revenue", revenue), whole_rows)
+    return df.withColumn("revenue", revenue)
+
+
+def clean_events(df: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """Standardised, typed, filtered and deduplicated events; ids and revenue are filled when absent."""
+    df = normalise_types(standardise_columns(df)).where(F.col("event_type").isin(CORE_EVENT_TYPES))
+    return drop_duplicate_events(fill_events(df), whole_rows)
 
 
 def sessionize(ev: DataFrame, timeout_minutes: float = 30, bucket: str = "hour") -> DataFrame:

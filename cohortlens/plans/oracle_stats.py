@@ -154,18 +154,19 @@ SELECT g.customer_id, coalesce(string_agg(feature, ',' ORDER BY abs(v) DESC, fea
        coalesce(min(feature) FILTER (v > 0 AND rn = 1), arg_min(feature, (-abs(v), feature))) AS top_factor,
        CAST(count(*) FILTER (v > 0) AS INTEGER) AS risks, CAST(count(*) FILTER (v < 0) AS INTEGER) AS protections
 FROM g LEFT JOIN (SELECT * FROM rk WHERE rn <= 2) r ON g.customer_id = r.customer_id GROUP BY 1"""
-    q["x1_stream_clean"] = chain(CLEAN) + """
+    # the log that arrives: every fifth event has a copy under a smaller id
+    arrived = CLEAN.replace("    FROM raw WHERE", "    FROM (SELECT * FROM raw UNION ALL SELECT * REPLACE ('-' || event_id AS event_id) FROM raw "
+                            "WHERE CAST(event_id AS BIGINT) % 5 = 0)\n    WHERE")
+    assert arrived != CLEAN
+    q["x1_stream_clean"] = chain(arrived) + """
 SELECT event_id, customer_id, customer_id AS visitor_id, event_type, item_id, category_id, tm AS "timestamp",
        transaction_id, revenue FROM ev"""
-    # a window is emitted once the watermark (latest event, whole milliseconds, minus one hour) has passed its end
-    mark = "(SELECT date_trunc('millisecond', max(ts)) - to_hours(1) FROM events)"
-    q["x2_stream_sessions"] = chain(CLEAN, _sessions(30)) + f"""
+    q["x2_stream_sessions"] = chain(arrived, _sessions(30)) + """
 SELECT customer_id, min(tm) AS session_start, max(tm) AS session_end, count(*) AS events FROM sess
-GROUP BY customer_id, session_index
-HAVING max(tm) + to_minutes(30) <= (SELECT date_trunc('millisecond', max(tm)) - to_hours(1) FROM ev)"""
-    q["x3_stream_traffic"] = chain(RAW) + f"""
+GROUP BY customer_id, session_index"""
+    q["x3_stream_traffic"] = chain(arrived) + """
 SELECT date_trunc('hour', tm) AS window_start, date_trunc('hour', tm) + to_hours(1) AS window_end, count(*) AS events,
        count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'addtocart') AS carts,
        count(*) FILTER (event_type = 'transaction') AS purchases
-FROM raw GROUP BY 1, 2 HAVING date_trunc('hour', tm) + to_hours(1) <= {mark}"""
+FROM ev GROUP BY 1, 2"""
     return q
