@@ -86,6 +86,16 @@ def running_in_slices(
     return joined.drop(*[f"__off_{c}" for c in totals])
 
 
+def running_by_range(df: DataFrame, by: str, key: str, totals: Sequence[str]) -> DataFrame:
+    """Add `<c>_before` per value of `by`, for a table with one row per (by, key), such as a value histogram.
+
+    One range shuffle cuts the rows into parts of about equal size, whatever their number and whichever `by` they belong to;
+    the parts are checkpointed, so a row's part is a fact on disk. Part totals are one row per part and `by`.
+    """
+    fixed = settle(df.repartitionByRange(by, key).sortWithinPartitions(by, key)).withColumn(SLICE, F.spark_partition_id())
+    return running_in_slices(fixed, key, totals, [by]).drop(SLICE)
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rn") -> DataFrame:
     """Number the rows 1..n in `order` (which must be total, so end it with a key).
 

@@ -10,8 +10,10 @@ from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.models.vectors import robust_scale
 from cohortlens.schemas import SEGMENT_FEATURES
@@ -137,13 +139,31 @@ def assign_segments(seg: Segmentation, feat: DataFrame) -> DataFrame:
         _squared_distance(cols, centers, F.col("segment_id"))).alias("distance_to_centroid"))
 
 
-def project(seg: Segmentation, feat: DataFrame) -> tuple[DataFrame, list[float]]:
-    """Customers on the first two principal components, and the variance each explains."""
-    vectors, _ = _vectors(feat, seg.columns)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred")
+# Inputs and numbers of clusters of the daily job.
+CORE_FEATURES = ["recency_days", "frequency_30d", "frequency_90d", "monetary_total", "monetary_30d", "aov", "views_30d", "carts_30d",
+                 "transactions_30d", "cart_to_view_ratio", "conversion_rate", "velocity_7d_30d"]
+CORE_KS = (3, 4, 5, 6, 7)
+
+
+def project_all(seg: Segmentation, feat: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(customers, segment centres) on the first two principal components, and the variance each explains."""
+    filled = feat.withColumns({f"{c}__z": (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)
+                               for c, (m, s) in seg.scaling.items()})
+    vectors = VectorAssembler(inputCols=[f"{c}__z" for c in seg.columns], outputCol="features").transform(filled)
     ready = settle(vectors.select("customer_id", "features"))
-    shifted = centred.fit(ready).transform(ready)
+    shift = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(ready)
+    shifted = shift.transform(ready)
     pca = PCA(k=2, inputCol="centred", outputCol="pc").fit(shifted)
     xy = vector_to_array("pc")
+    centres = feat.sparkSession.createDataFrame(
+        [(i, Vectors.dense(c)) for i, c in enumerate(seg.model.clusterCenters())], T.StructType([
+            T.StructField("segment_id", T.IntegerType()), T.StructField("features", VectorUDT())]))
     return (pca.transform(shifted).select("customer_id", xy[0].alias("x"), xy[1].alias("y")),
+            pca.transform(shift.transform(centres)).select("segment_id", xy[0].alias("x"), xy[1].alias("y")),
             [float(v) for v in pca.explainedVariance])
+
+
+def project(seg: Segmentation, feat: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Customers on the first two principal components, and the variance each explains."""
+    points, _, explained = project_all(seg, feat)
+    return points, explained

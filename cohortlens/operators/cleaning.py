@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.expressions import days_between, parse_timestamp
 from cohortlens.functions.skew import salted_join
 from cohortlens.schemas import CORE_EVENT_TYPES
+from cohortlens.session import settle
 
 # Accepted spellings of the event columns.
 ALIASES = {"itemid": "item_id", "event": "event_type", "transactionid": "transaction_id"}
@@ -64,37 +65,71 @@ def clean_events(df: DataFrame, whole_rows: bool = False) -> DataFrame:
     return drop_duplicate_events(fill_events(df), whole_rows)
 
 
-def sessionize(ev: DataFrame, timeout_minutes: float = 30, bucket: str = "hour") -> DataFrame:
+# Microseconds of the slices that a busy customer's time is cut into, one after the other where one is too full.
+SLICES = (86_400_000_000, 3_600_000_000, 1_000_000, 1_000, 1)
+
+
+def time_slices(rows: DataFrame, key: str, us: str, spread_by: list[str], share: float = 0.001, most: int = 20_000_000) -> DataFrame | None:
+    """Add __from and __salt: slices of a key's time of at most about `share` of all rows, and of `most` rows. None if no key
+    needs more than one slice.
+
+    A key of more rows is cut by days, a day of more rows by hours, then seconds, milliseconds and instants; rows of one full
+    instant are dealt by a hash. Slices of a key are in order of (__from, __salt). The tables of full slices that rows are
+    joined with have fewer than rows / limit entries, so they may be broadcast.
+    """
+    counts = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    limit = max(1.0, min((counts.agg(F.sum("n")).first()[0] or 0) * share, most))
+    whole = F.lit(-(1 << 62))
+    full = counts.where(F.col("n") > limit).withColumn("__from", whole)
+    if full.isEmpty():
+        return None
+    out = rows.withColumn("__from", whole).withColumn("__salt", F.lit(0))
+    for unit in SLICES:
+        parts = F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("__parts")
+        cut = F.col("__parts").isNotNull()
+        tagged = out.join(F.broadcast(full.select(key, "__from", parts)), [key, "__from"], "left")
+        out = tagged.withColumn("__from", F.when(cut, F.col(us) - F.pmod(F.col(us), F.lit(unit))).otherwise(F.col("__from")))
+        if unit == 1:
+            out = out.withColumn("__salt", F.when(cut, F.pmod(F.xxhash64(*spread_by), F.col("__parts")).cast("int")).otherwise(F.lit(0)))
+        full = settle(out.where(cut).groupBy(key, "__from").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit))
+        out = out.drop("__parts")
+        if full.isEmpty():
+            break
+    return out
+
+
+def sessionize(ev: DataFrame, timeout_minutes: float = 30, share: float = 0.001) -> DataFrame:
     """Number the sessions of each customer; a gap longer than the timeout starts a new one.
 
-    A customer is cut into time buckets so that no task has to hold a whole customer: gaps are found inside
-    a bucket, and the bucket summaries (last event and session starts so far) carry the state across.
+    No task has to hold a busy customer: customers with more than `share` of the rows are cut into time slices. Gaps
+    are found inside a slice, and the slice summaries (first and last event, session starts) carry the state across.
     """
     timeout = int(timeout_minutes * 60_000_000)
-    rows = ev.withColumn("__b", F.date_trunc(bucket, "timestamp")).withColumn("__us", F.unix_micros("timestamp"))
     # what the join below would infer for one side only is stated for both, so that they share one input
-    rows = rows.where(F.col("customer_id").isNotNull() & F.col("__b").isNotNull())
-    inside = Window.partitionBy("customer_id", "__b").orderBy("__us", "event_id")
-    marked = rows.withColumn("__prev", F.lag("__us").over(inside)).withColumn(
-        "__start", F.when(F.col("__us") - F.col("__prev") > timeout, 1).otherwise(0))
-
-    per_bucket = marked.groupBy("customer_id", "__b").agg(
-        F.min("__us").alias("__first"), F.max("__us").alias("__last"), F.sum("__start").alias("__starts"))
-    buckets = Window.partitionBy("customer_id").orderBy("__b")
-    upto = buckets.rowsBetween(Window.unboundedPreceding, 0)
-    carried = (
-        per_bucket.withColumn("__prev_last", F.lag("__last").over(buckets))
-        .withColumn("__opens", F.when(
-            F.col("__prev_last").isNull() | (F.col("__first") - F.col("__prev_last") > timeout), 1).otherwise(0))
-        .withColumn("__base", F.sum(F.col("__opens") + F.col("__starts")).over(upto) - F.col("__starts"))
-        .select("customer_id", "__b", "__base"))
-
+    rows = ev.where(F.col("customer_id").isNotNull() & F.col("timestamp").isNotNull()).withColumn("__us", F.unix_micros("timestamp"))
+    sliced = time_slices(rows, "customer_id", "__us", ["event_id"], share)
+    keys = ["customer_id"] if sliced is None else ["customer_id", "__from", "__salt"]
+    inside = Window.partitionBy(*keys).orderBy("__us", "event_id")
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        marked.join(carried, ["customer_id", "__b"])
-        .withColumn("session_index", F.col("__base") + F.sum("__start").over(so_far))
-        .withColumn("session_id", F.concat_ws("_", F.lit("sess"), "customer_id", F.col("session_index")))
-        .drop("__b", "__us", "__prev", "__start", "__base"))
+    marked = (rows if sliced is None else sliced).withColumn("__prev", F.lag("__us").over(inside)).withColumn(
+        "__start", F.when(F.col("__us") - F.col("__prev") > timeout, 1).otherwise(0))
+    index = F.sum("__start").over(so_far)
+    if sliced is None:
+        numbered = marked.withColumn("session_index", index + 1)
+    else:
+        per_slice = marked.groupBy(*keys).agg(
+            F.min("__us").alias("__first"), F.max("__us").alias("__last"), F.sum("__start").alias("__starts"))
+        slices = Window.partitionBy("customer_id").orderBy("__from", "__salt")
+        upto = slices.rowsBetween(Window.unboundedPreceding, 0)
+        carried = (
+            per_slice.withColumn("__prev_last", F.lag("__last").over(slices))
+            .withColumn("__opens", F.when(
+                F.col("__prev_last").isNull() | (F.col("__first") - F.col("__prev_last") > timeout), 1).otherwise(0))
+            .withColumn("__base", F.sum(F.col("__opens") + F.col("__starts")).over(upto) - F.col("__starts"))
+            .select(*keys, "__base"))
+        numbered = marked.join(carried, keys).withColumn("session_index", F.col("__base") + index)
+    return numbered.withColumn("session_id", F.concat_ws("_", F.lit("sess"), "customer_id", F.col("session_index"))).select(
+        *ev.columns, "session_index", "session_id")
 
 
 def session_summary(sessions: DataFrame) -> DataFrame:

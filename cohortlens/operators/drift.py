@@ -1,9 +1,15 @@
-"""Drift between a reference and a current population; all features go through the same few passes."""
+"""Drift between a reference and a current population.
+
+Both statistics follow from one table, the value histogram: (feature, value, rows of the reference, rows of the current
+population). It is built in one pass over the two tables, may be kept and added up with that of another day (`merged`), and is
+as small as the distinct values are. Its running totals are the empirical distribution functions.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,29 +18,57 @@ from cohortlens.functions import ordered
 from cohortlens.schemas import DRIFT_FEATURES
 
 
-def _both(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
-    vals = [F.col(c).cast("double").alias(c) for c in columns]
-    return ref.select(*vals, F.lit(1).alias("is_ref")).unionAll(cur.select(*vals, F.lit(0).alias("is_ref")))
+def value_histogram(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, v, r, c): rows of either side per value; nulls and not-a-numbers are left out."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    both = ref.select(cells.alias("x"), F.lit(1).alias("is_ref")).unionAll(cur.select(cells.alias("x"), F.lit(0).alias("is_ref")))
+    tall = both.select(F.explode("x").alias("x"), "is_ref").select("x.*", "is_ref").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return tall.groupBy("feature", "v").agg(F.sum("is_ref").alias("r"), F.sum(1 - F.col("is_ref")).alias("c"))
+
+
+def merged(histograms: Sequence[DataFrame]) -> DataFrame:
+    """The histogram of several together."""
+    return reduce(DataFrame.unionByName, histograms).groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+
 
+def distributions(histogram: DataFrame) -> DataFrame:
+    """The histogram with what lies below every value (r_before, c_before) and both sizes (n_ref, n_cur)."""
+    run = ordered.running_by_range(histogram, "feature", "v", ["r", "c"])
+    sizes = run.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    return run.join(F.broadcast(sizes), "feature")  # one row per feature
 
-def _sides() -> list[Column]:
-    return [F.sum("is_ref").alias("r"), F.sum(1 - F.col("is_ref")).alias("c")]
+
+def ks_of(dist: DataFrame) -> DataFrame:
+    """Largest gap between the two distribution functions per feature, with both sizes."""
+    gap = F.abs((F.col("r_before") + F.col("r")) / F.greatest("n_ref", F.lit(1))
+                - (F.col("c_before") + F.col("c")) / F.greatest("n_cur", F.lit(1)))
+    return dist.groupBy("feature").agg(
+        F.max(gap).alias("ks_statistic"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
 
 
-def psi(
-    ref: DataFrame, cur: DataFrame, columns: Sequence[str], buckets: int = 10, eps: float = 1e-4
-) -> DataFrame:
+def quantile_edges(dist: DataFrame, probs: Sequence[float]) -> dict[str, list[float]]:
+    """Distinct interpolated quantiles of the reference per feature, exact: every rank is looked up in the running totals."""
+    spots = F.transform(F.lit(list(probs)).cast("array<double>"), lambda p: p * (F.col("n_ref") - 1))
+    wanted = F.explode(F.filter(F.array_distinct(F.flatten(F.transform(spots, lambda s: F.array(F.floor(s), F.ceil(s))))), lambda k: (
+        k >= F.col("r_before")) & (k < F.col("r_before") + F.col("r"))))
+    # at most two rows per feature and probability
+    at = {(r["feature"], r["k"]): r for r in dist.where("r > 0").select("feature", "v", "n_ref", wanted.alias("k")).collect()}
+    out: dict[str, list[float]] = {}
+    for feature, n in {(f, r["n_ref"]) for (f, _), r in at.items()}:
+        low = [(p * (n - 1), math.floor(p * (n - 1))) for p in probs]
+        out[feature] = sorted({at[feature, k]["v"] + (at[feature, math.ceil(s)]["v"] - at[feature, k]["v"]) * (s - k) for s, k in low})
+    return out
+
+
+def psi_of(dist: DataFrame, columns: Sequence[str], buckets: int = 10, eps: float = 1e-4) -> DataFrame:
     """Population stability index per feature over the reference's quantile buckets, clipped to 0..10."""
-    inner = [i / buckets for i in range(1, buckets)]
-    clean = ref.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) for c in columns])
-    edges = {c: sorted({v for v in q if v is not None})
-             for c, q in ordered.quantiles_of(clean, {c: inner for c in columns}).items()}
-    tall = ordered.stacked(ordered.bucketed(_both(ref, cur, columns), edges), columns, ["is_ref"])
-    counts = tall.groupBy("feature", F.col(ordered.SLICE).alias("b")).agg(*_sides())
+    found = quantile_edges(dist, [i / buckets for i in range(1, buckets)])
+    edges = dist.sparkSession.createDataFrame([(c, found.get(c, [])) for c in columns], "feature string, edges array<double>")
+    # edges and counts have one row per feature and bucket
+    place = F.size(F.filter("edges", lambda e: e <= F.col("v"))).alias("b")
+    counts = dist.join(F.broadcast(edges), "feature").groupBy("feature", place).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     totals = counts.groupBy("feature").agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"))
-    grid = ref.sparkSession.createDataFrame(
-        [(c, float(i)) for c in columns for i in range(len(edges[c]) + 1)], "feature string, b double")
-    # grid, counts and totals have one row per feature and bucket, or per feature
+    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("b"))
     dense = grid.join(F.broadcast(counts), ["feature", "b"], "left").fillna(0, ["r", "c"]).join(
         F.broadcast(totals), "feature", "left").fillna(0, ["tr", "tc"])
 
@@ -49,18 +83,14 @@ def psi(
         .otherwise(0.0).alias("psi"))
 
 
-def ks_statistic(ref: DataFrame, cur: DataFrame, columns: Sequence[str], slices: int = 128) -> DataFrame:
-    """Largest gap between the two empirical distribution functions per feature, with both sample sizes."""
-    both = _both(ref, cur, columns)
-    tall = ordered.stacked(ordered.bucketed(both, ordered.slice_edges(both, columns, slices)), columns, ["is_ref"])
-    hist = tall.groupBy("feature", ordered.SLICE, "v").agg(*_sides())
-    run = ordered.running_in_slices(hist, "v", ["r", "c"], by=["feature"])
-    # the last value of a feature has seen everything, so sizes need no second pass over the data
-    sizes = hist.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
-    gap = F.abs((F.col("r_before") + F.col("r")) / F.greatest("n_ref", F.lit(1))
-                - (F.col("c_before") + F.col("c")) / F.greatest("n_cur", F.lit(1)))
-    return run.join(F.broadcast(sizes), "feature").groupBy("feature").agg(
-        F.max(gap).alias("ks_statistic"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
+def psi(ref: DataFrame, cur: DataFrame, columns: Sequence[str], buckets: int = 10, eps: float = 1e-4) -> DataFrame:
+    """`psi_of` two tables."""
+    return psi_of(distributions(value_histogram(ref, cur, columns)), columns, buckets, eps)
+
+
+def ks_statistic(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`ks_of` two tables."""
+    return ks_of(distributions(value_histogram(ref, cur, columns)))
 
 
 def ks_pvalue(d: float, n: int, m: int) -> float:
@@ -76,8 +106,9 @@ def drift_report(
 ) -> tuple[DataFrame, str]:
     """(one row per feature with KS, p-value, PSI and verdict; overall health)."""
     shared = [c for c in columns if c in ref.columns and c in cur.columns]
-    ks = {r["feature"]: r for r in ks_statistic(ref, cur, shared).collect()}  # one row per feature
-    shift = {r["feature"]: r["psi"] for r in psi(ref, cur, shared).collect()}
+    dist = distributions(value_histogram(ref, cur, shared))
+    ks = {r["feature"]: r for r in ks_of(dist).collect()}  # one row per feature
+    shift = {r["feature"]: r["psi"] for r in psi_of(dist, shared).collect()}
     rows = []
     for c in shared:
         if c not in ks:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expressions import count_where
 from cohortlens.functions.ordered import quantiles_of
 from cohortlens.schemas import CORE_EVENT_TYPES
+from cohortlens.session import ship_package
 
 REQUIRED = ["event_id", "customer_id", "event_type", "timestamp"]
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
@@ -205,19 +210,59 @@ def quality_report(df: DataFrame, mapping: dict[str, str] | None = None) -> Data
         "min_date", "max_date", span.alias("span_days"), F.size("issues").alias("issues_count"), "issues")
 
 
+def gram_sums(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, j, n, si, sj, sii, sjj, sij, odd) of all pairs i <= j of numeric columns over the rows that have both: number, sums,
+    sums of squares and product of the values less their column's mean, and rows with a value that is not finite.
+
+    Every task multiplies its batches as matrices, values with values and with the masks of what is present, so a pair
+    costs a few multiplications a row; what is shuffled is one row per task and pair.
+    """
+    ship_package(df.sparkSession)
+    d = len(columns)
+    values = [F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    finite = df.agg(*[F.avg(F.when(F.abs(v) < float("inf"), v)) for v in values]).first() if d else []
+    shift = np.array([0.0 if m is None else m for m in finite])
+    upper = np.triu_indices(d)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q, p, odd = (np.zeros((d, d)) for _ in range(5))
+        for batch in batches:
+            known = np.column_stack([np.asarray(c.is_valid()) for c in batch.columns])
+            x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            bad = known & ~np.isfinite(x)
+            mask = known.astype(float)
+            x = np.where(known & ~bad, x - shift, 0.0)
+            n += mask.T @ mask
+            s += x.T @ mask
+            q += (x * x).T @ mask
+            p += x.T @ x
+            odd += bad.T.astype(float) @ mask
+        odd = odd + odd.T
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a.astype(np.int32)) for a in upper] + [pa.array(a[upper]) for a in (n, s, s.T, q, q.T, p, odd)],
+            ["i", "j", "n", "si", "sj", "sii", "sjj", "sij", "odd"])
+
+    schema = "i int, j int, n double, si double, sj double, sii double, sjj double, sij double, odd double"
+    return df.select(*values).mapInArrow(sums, schema).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "si", "sj", "sii", "sjj", "sij", "odd")])
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns, in one pass; undefined ones are 0."""
+    """Pearson correlation of every pair of numeric columns over the rows that have both; undefined ones are 0."""
     types = dict(df.dtypes)
     columns = columns or [c for c in df.columns if is_numeric(types[c])]
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            value = F.when(F.isnan(f"p{i}"), 0.0).otherwise(F.coalesce(F.col(f"p{i}"), F.lit(0.0)))
-            cells.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), value.alias("corr")))
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    if not columns:
+        return df.sparkSession.createDataFrame([], "x string, y string, corr double")
+    n = F.col("n")
+    spread_i, spread_j = F.col("sii") - F.col("si") * F.col("si") / n, F.col("sjj") - F.col("sj") * F.col("sj") / n
+    together = F.col("sij") - F.col("si") * F.col("sj") / n
+    # what is left of a constant column is rounding
+    varies = (n > 0) & (F.col("odd") == 0) & (spread_i > 1e-12 * F.col("sii")) & (spread_j > 1e-12 * F.col("sjj"))
+    value = F.when(varies, F.when(F.col("i") == F.col("j"), 1.0).otherwise(together / F.sqrt(spread_i * spread_j))).otherwise(0.0)
+    names = F.lit(columns)
+    cells = gram_sums(df, columns).select("i", "j", value.alias("corr"))
+    both = cells.unionAll(cells.where("i < j").select("j", "i", "corr"))
+    return both.select(F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), "corr")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

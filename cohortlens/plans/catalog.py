@@ -141,6 +141,11 @@ def scored_orders(spark: SparkSession, sf_dir: str, fraction: float = 0.7) -> Da
         "customer_id", F.col("predicted_probability").alias("score"), F.col("churned").alias("label"))
 
 
+# what is known of a customer of the experiment before the outcome
+EXPERIMENT_COLUMNS = ["recency_days", "frequency_30d", "frequency_90d", "monetary_total", "monetary_30d", "aov", "transactions_30d",
+                      "velocity_7d_30d", "purchase_interval_days", "unique_items_viewed"]
+
+
 def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null experiment: an arbitrary split of customers and whether they order after the 85 % cutoff."""
     cutoff = order_cutoff(spark, sf_dir, 0.85)

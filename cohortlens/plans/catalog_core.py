@@ -31,6 +31,43 @@ def _(spark, sf):
     return readers.sample_entities(star.order_events(spark, sf), rows // 4)
 
 
+@query("s6_sample_bounds")
+def _(spark, sf):
+    """The sample holds whole customers, enough rows, and without one of its customers too few."""
+    orders = star.order_events(spark, sf)
+    least = star.table(spark, sf, "orders").count() // 4
+    kept = readers.sample_entities(orders, least).groupBy("customer_id").agg(F.count(F.lit(1)).alias("kept"))
+    both = orders.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).join(kept, "customer_id", "left")
+    return both.agg(
+        (F.sum("kept") >= least).alias("enough"), (F.sum("kept") - F.max("kept") < least).alias("no_more"),
+        F.bool_and(F.coalesce(F.col("kept") == F.col("n"), F.lit(True))).alias("whole"))
+
+
+@query("s5_sample_bounds")
+def _(spark, sf):
+    """The row sample: distinct rows of the log, the wanted share within four standard deviations, the same again."""
+    raw = star.raw_events(spark, sf)
+    one, two = (readers.sample_rows(raw, 0.25).select("event_id") for _ in range(2))
+    n = raw.count()
+    again = one.join(two, "event_id", "left_anti").agg(F.count(F.lit(1)).alias("other"))
+    return one.agg(F.count(F.lit(1)).alias("m"), F.count_distinct("event_id").alias("d")).select(
+        (F.abs(F.col("m") - 0.25 * n) <= 4 * (n * 0.25 * 0.75) ** 0.5).alias("share"), (F.col("m") == F.col("d")).alias("distinct_rows"),
+        (again.scalar() == 0).alias("repeatable"))
+
+
+@query("s8_fingerprint_checks")
+def _(spark, sf):
+    """The fingerprint does not change with the order of rows and columns, and does with one cell."""
+    lines = star.table(spark, sf, "lineitem")
+    shuffled = lines.select(*reversed(lines.columns)).repartition(5, "l_partkey")
+    least = lines.agg(F.min(F.struct("l_orderkey", "l_linenumber"))).first()[0]
+    changed = lines.withColumn("l_quantity", F.when(
+        (F.col("l_orderkey") == least[0]) & (F.col("l_linenumber") == least[1]), F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    mark = readers.fingerprint(lines).select("rows", "columns", "dataset_hash")
+    return mark.select("rows", "columns", (F.col("dataset_hash") == readers.fingerprint(shuffled).select("dataset_hash").scalar()).alias("same"),
+                       (F.col("dataset_hash") == readers.fingerprint(changed).select("dataset_hash").scalar()).alias("unnoticed"))
+
+
 @query("s7_reshape_raw_log")
 def _(spark, sf):
     raw = star.raw_events(spark, sf).select(
@@ -113,7 +150,7 @@ def _(spark, sf):
 
 @query("w1_sessionize")
 def _(spark, sf):
-    return cleaning.sessionize(core_events(spark, sf, True), timeout_minutes=24 * 60, bucket="day").select(
+    return cleaning.sessionize(core_events(spark, sf, True), timeout_minutes=24 * 60).select(
         "event_id", "customer_id", "timestamp", "session_index", "session_id")
 
 

@@ -218,8 +218,10 @@ def _(spark, sf):
 
 @query("r15_next_action_timing")
 def _(spark, sf):
+    """All customers, and the visitors of the click log, whom the order log does not know."""
     t = OrderTables(spark, sf)
-    return decisions.next_action_timing(t.feat, t.states)
+    visitors = star.table(spark, sf, "events").select(F.concat(F.lit("visitor-"), F.col("user_id").cast("string")).alias("customer_id")).distinct()
+    return decisions.next_action_timing(t.feat, t.states, t.feat.select("customer_id").unionAll(visitors))
 
 
 @query("a35_policy_scorecard")

@@ -321,20 +321,19 @@ SELECT customer_id, 'CAMPAIGN_INTERVENTION' AS treatment_type, u AS estimated_up
 FROM (SELECT customer_id, round(least(greatest(0.12::DOUBLE
         + CASE WHEN transactions_90d >= 2 THEN 0.04::DOUBLE ELSE 0.0 END
         + CASE WHEN monetary_total > 20000 THEN 0.06::DOUBLE ELSE 0.0 END, 0.04), 0.35), 3) AS u FROM e)"""
-    q["r15_next_action_timing"] = chain(*ORDER_TABLES) + """
+    q["r15_next_action_timing"] = chain(*ORDER_TABLES) + """, asked AS (
+  SELECT customer_id FROM gs UNION ALL SELECT DISTINCT 'visitor-' || user_id FROM events)
 SELECT customer_id, r[1] AS predicted_next_action, r[2] AS expected_visit_timing, CAST(r[3] AS DOUBLE) AS probability,
        r[4] AS cart_recovery_potential, r[5] AS discount_voucher_recommendation,
-       replace(replace(replace(replace(replace(top_category, '1-URGENT', '1-urgent'), '2-HIGH', '2-high'),
-         '3-MEDIUM', '3-medium'), '4-NOT SPECIFIED', '4-not Specified'), '5-LOW', '5-low') AS category_affinity
-FROM (SELECT *, CASE
-  WHEN carts_30d > 0 THEN ['CHECKOUT_CART_ITEMS', 'Next 6 to 12 Hours (High Cart Intent)', '0.82', 'HIGH',
-    'FLASH15 (15% Off Cart Recovery)']
-  WHEN current_state IN ('DECLINING', 'AT_RISK') THEN ['WIN_BACK_ENGAGEMENT', 'Next 12 to 24 Hours', '0.74',
-    'URGENT_INCENTIVE', 'COMEBACK20 (20% Off Minimum Spend ₹999)']
-  WHEN current_state = 'LOYAL' THEN ['REPEAT_PURCHASE_PREVIEW', 'Next 24 to 48 Hours', '0.88', 'LOW_RISK',
-    'VIPREWARD (Early Access + ₹200 Cashback)']
-  ELSE ['BROWSE_TRENDING_CATEGORIES', 'Next 2 to 4 Days', '0.68', 'NORMAL', 'EXPLORE10 (10% Off Top Brands)']
-  END AS r FROM gs)"""
+       coalesce(replace(replace(replace(replace(replace(top_category, '1-URGENT', '1-urgent'), '2-HIGH', '2-high'),
+         '3-MEDIUM', '3-medium'), '4-NOT SPECIFIED', '4-not Specified'), '5-LOW', '5-low'), 'Electronics') AS category_affinity
+FROM (SELECT asked.customer_id, top_category, CASE
+  WHEN gs.customer_id IS NULL THEN ['SEARCH_CATEGORY', 'within 24 to 48 hours', '0.65', 'MODERATE', 'WELCOME10']
+  WHEN carts_30d > 0 THEN ['CHECKOUT_CART_ITEMS', 'within 6 to 12 hours', '0.82', 'HIGH', 'FLASH15']
+  WHEN current_state IN ('DECLINING', 'AT_RISK') THEN ['WIN_BACK_ENGAGEMENT', 'within 12 to 24 hours', '0.74', 'URGENT_INCENTIVE', 'COMEBACK20']
+  WHEN current_state = 'LOYAL' THEN ['REPEAT_PURCHASE_PREVIEW', 'within 24 to 48 hours', '0.88', 'LOW_RISK', 'VIPREWARD']
+  ELSE ['BROWSE_TRENDING_CATEGORIES', 'within 48 to 96 hours', '0.68', 'NORMAL', 'EXPLORE10']
+  END AS r FROM asked LEFT JOIN gs ON asked.customer_id = gs.customer_id)"""
     q["a35_policy_scorecard"] = chain(*ORDER_TABLES, """hs AS (SELECT action_type, count(*) AS n,
   sum(expected_impact) AS v FROM rec GROUP BY 1)""", """o AS (SELECT sum(n) AS t, max(n) AS top,
   round((log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(9), 3) AS d, round(sum(v), 2) AS v FROM hs)""") + """

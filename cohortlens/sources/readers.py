@@ -7,10 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ordered import running_totals
-from cohortlens.functions.skew import salted_join
 from cohortlens.operators.cleaning import clean_events
 from cohortlens.schemas import EXPERIMENT_SCHEMA
+from cohortlens.session import settle
 
 
 def _scan(spark: SparkSession, path: str, fmt: str | None, schema=None, **options) -> DataFrame:
@@ -86,14 +85,39 @@ def reshape_raw_log(df: DataFrame) -> DataFrame:
         optional["amount"].cast("string").alias("amount"))
 
 
+def hash_cut(counts: DataFrame, hash_column: str, least: int, bits: int = 12) -> int | None:
+    """The smallest hash such that the entities up to it have `least` rows together; None if all together have fewer.
+
+    `counts` (hash, n) is read a few times, `bits` bits of the hash at a time: a histogram over the prefixes tells which
+    one the cut lies in. At most 2^bits rows come to the driver at once.
+    """
+    low, seen = -(1 << 63), 0  # hashes from `low` on are open, `seen` rows lie below
+    for left in range(64, 0, -bits):
+        shift = max(0, left - bits)
+        inside = counts.where((F.col(hash_column) >= low) & (F.col(hash_column) <= low + (1 << left) - 1))
+        sizes = inside.groupBy(F.shiftright(hash_column, shift).alias("p")).agg(F.sum("n").alias("n")).orderBy("p").collect()
+        for row in sizes:
+            if seen + row["n"] >= least:
+                low = row["p"] << shift
+                break
+            seen += row["n"]
+        else:
+            return None
+    return low
+
+
 def sample_entities(ev: DataFrame, min_rows: int, seed: int = 42, key: str = "customer_id") -> DataFrame:
-    """Whole customers in a seeded random order until at least `min_rows` rows are kept."""
-    per_key = ev.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "__h", F.xxhash64(F.col(key), F.lit(seed)).cast("double"))
-    spot = ev.select(F.xxhash64(F.col(key), F.lit(seed)).cast("double").alias("__h"))
-    kept = running_totals(per_key, "__h", ["n"], tie=[key], edges_from=spot).where(F.col("n_before") < min_rows)
-    return salted_join(ev, kept.select(key), key, counts=per_key.select(key, "n"),
-                       spread_by=[c for c in ev.columns if c != key]).select(*ev.columns)
+    """Whole customers in a seeded random order until at least `min_rows` rows are kept.
+
+    The order is that of a hash of the key, so membership is a comparison with one cut: the log is counted once per key and
+    then filtered, without a join or a shuffle. Rows without a key are in no sample.
+    """
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    known = ev.where(F.col(key).isNotNull())
+    if min_rows <= 0:
+        return known.limit(0)
+    cut = hash_cut(settle(known.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n"))), "h", min_rows)
+    return known if cut is None else known.where(h <= cut)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Models: bounds, planted signals and identities; streaming equals batch."""
 
 import datetime as dt
+import itertools
+import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -170,6 +173,82 @@ def test_next_event_probabilities_add_up(spark):
         assert r["class_probabilities"][r["predicted_class"]] == r["predicted_probability"]
 
 
+def _subset_game(covers, inside):
+    """Shapley values of prod(inside or cover) by their definition over all subsets."""
+    d = len(covers)
+    out = []
+    for i in range(d):
+        total = 0.0
+        for chosen in itertools.product((0, 1), repeat=d - 1):
+            rest = [j for j in range(d) if j != i]
+            k = sum(chosen)
+            part = math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)
+            total += part * math.prod(inside[j] if c else covers[j] for j, c in zip(rest, chosen))
+        out.append(total * (inside[i] - covers[i]))
+    return out
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 6, 8])
+def test_path_shares_equal_the_subset_sum(d):
+    rng = np.random.default_rng(d)
+    covers, inside = rng.uniform(0, 1, (20, d)), rng.integers(0, 2, (20, d)).astype(float)
+    covers[0] = 0.0
+    got = explain.path_shares(covers, inside)
+    assert np.allclose(got, [_subset_game(c, s) for c, s in zip(covers, inside)], atol=1e-12)
+    assert np.allclose(got.sum(1), inside.prod(1) - covers.prod(1), atol=1e-12)
+
+
+def test_attribution_of_many_deep_leaves_is_quick():
+    """200 trees of depth 8: the leaves of a full tree on different features, without a table of patterns."""
+    rng = np.random.default_rng(0)
+    n, d = 200 * 256, 8
+    features = np.sort(np.argsort(rng.random((n, 14)), axis=1)[:, :d], axis=1)
+    leaves = {d: explain.Leaves(features, np.where(rng.random((n, d)) < 0.5, -np.inf, 0.3), np.where(rng.random((n, d)) < 0.5, np.inf, 0.7),
+                                rng.uniform(0.2, 0.9, (n, d)), rng.normal(size=n))}
+    x = rng.random((64, 14))
+    start = time.perf_counter()
+    got = explain.Attribution(leaves).of(x)
+    assert time.perf_counter() - start < 60
+    own = x[:, features]
+    inside = ((own > leaves[d].low) & (own <= leaves[d].high)).prod(2)
+    assert np.allclose(got.sum(1), ((inside - leaves[d].covers.prod(1)) * leaves[d].values).sum(1))
+
+
+def test_contributions_add_up_to_the_published_margin(planted):
+    """Deep trees, calibrated: the fold trees are explained, not a model that publishes nothing."""
+    model = churn.train_churn(planted, COLS, {"maxIter": 4, "maxDepth": 8}, calibrate=True)
+    vectors = assemble(planted, COLS).select("customer_id", "features")
+    parts, base = churn.published_contributions(model, vectors)
+    for r in parts.collect():
+        assert abs(base + sum(r["contributions"]) - r["margin"]) < 1e-9
+
+
+def test_late_copies_replace_and_late_rows_are_told(spark, tmp_path):
+    """Parts with a copy of a smaller id that comes later, and one row behind the watermark."""
+    schema = "event_id string, customer_id string, event_type string, item_id string, timestamp timestamp, revenue double"
+
+    def part(*rows):
+        return spark.createDataFrame([(i, "a", t, "p", DAY0 + dt.timedelta(minutes=m), 0.0) for i, t, m in rows], schema)
+
+    parts = [part(("b1", "view", 0), ("b2", "view", 40), ("b3", "odd", 41)), part(("a1", "view", 0), ("a9", "view", 50), ("c2", "view", 40))]
+    src, out, state = (str(tmp_path / d) for d in ("src", "out", "state"))
+    for i, rows in enumerate(parts):
+        rows.coalesce(1).write.mode("append").parquet(src)
+        if i:
+            streaming.close_log(spark, src, rows.schema)
+        got = streaming.run_available(streaming.stream_clean(spark.readStream.schema(rows.schema).parquet(src)), "s", out, state, "fail")
+    want = cleaning.clean_events(parts[0].unionAll(parts[1]))
+    assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in want.collect()) == ["a1", "a9", "b2"]
+    src, out, state = (str(tmp_path / d) for d in ("src2", "out2", "state2"))
+    for rows in (part(("x", "view", 600)), part(("y", "view", 1))):
+        rows.coalesce(1).write.mode("append").parquet(src)
+        run = lambda: streaming.run_available(streaming.stream_clean(spark.readStream.schema(schema).parquet(src)), "s", out, state, "fail")
+        if rows.first()["event_id"] == "x":
+            run()
+    with pytest.raises(streaming.LateRows):
+        run()
+
+
 def test_streams_equal_batch_and_drop_late_rows(spark, tmp_path):
     def batch(name, minutes):
         rows = [(f"{name}{i}", "a", "view", f"p{i % 3}", DAY0 + dt.timedelta(minutes=m), 0.0) for i, m in enumerate(minutes)]

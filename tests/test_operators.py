@@ -92,6 +92,26 @@ def test_sessions_match_a_plain_scan(spark):
     assert got == dict(zip(pdf["event_id"], expected.astype(int)))
 
 
+def test_sessions_of_a_busy_customer(spark):
+    """A third of the rows in one hour of one customer, some of them in one instant: no slice is large, sessions are exact."""
+    rng = random.Random(2)
+    rows = [("hot", 5 + rng.random() / 24, "view", f"i{i}", 0.0) for i in range(700)]
+    rows += [("hot", 5.01, "view", f"j{i}", 0.0) for i in range(300)]
+    rows += [("hot", 5.01 + 7e-10 * i, "view", f"k{i}", 0.0) for i in range(100)]
+    rows += [(f"c{i % 40}", rng.random() * 20, "view", f"l{i}", 0.0) for i in range(2000)]
+    ev = events(spark, rows)
+    limit = 0.01 * len(rows)
+    sliced = cleaning.time_slices(ev.withColumn("us", F.unix_micros("timestamp")), "customer_id", "us", ["event_id"], 0.01)
+    sizes = sorted(r["count"] for r in sliced.groupBy("customer_id", "__from", "__salt").count().collect())
+    assert sum(sizes) == len(rows) and sizes[-1] < 2 * max(limit, 2000 / 40)
+    got = {r["event_id"]: r["session_index"] for r in cleaning.sessionize(ev, 1, share=0.01).collect()}
+    pdf = ev.toPandas().sort_values(["customer_id", "timestamp", "event_id"])
+    gap = pdf.groupby("customer_id")["timestamp"].diff()
+    expected = (gap.isna() | (gap > pd.Timedelta(minutes=1))).groupby(pdf["customer_id"]).cumsum()
+    assert got == dict(zip(pdf["event_id"], expected.astype(int)))
+    assert cleaning.sessionize(ev.limit(0)).count() == 0
+
+
 def test_split_cold_start(spark):
     ev = events(spark, [("old", d, "view", "i", 0.0) for d in (0, 10, 20)] + [("new", 1, "view", "i", 0.0)])
     old, new = cleaning.split_cold_start(ev)
