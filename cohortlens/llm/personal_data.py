@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import tagger
@@ -391,14 +391,15 @@ def find_personal_data(docs: DataFrame, params: dict[str, np.ndarray] | None) ->
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the patterns' spans, the checksum of their list, and the list of all spans."""
-    def listed(column: str):
-        return F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    def listed(spans) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def of(column: str, kind: str) -> Column:
+        return F.filter(column, lambda s: s["kind"] == kind)
 
-    order = F.concat(*[F.filter("every", lambda s, k=k: s["kind"] == k) for k in KINDS])
     every = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(of("base", k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.withColumn("every", every).select(
-        "doc_id", *counts, F.sha2(F.concat_ws(",", listed("base")), 256).alias("base_sha256"),
-        F.concat_ws(",", F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))).alias("spans"),
+        "doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed(F.concat(*[of("every", k) for k in KINDS])).alias("spans"),
         F.size("added").cast("long").alias("n_added"))
