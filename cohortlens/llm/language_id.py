@@ -197,10 +197,13 @@ def train(docs: DataFrame, path: str, sample: int = 3000, rounds: int = 3, smoot
     return langs, probs
 
 
-def identify(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, text_key, lang_pred, score (posterior of the predicted language among the learned, all equally likely before)."""
+def identify(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text_key, lang_pred, score (posterior of the predicted language among the learned, all equally likely before),
+    word_chars (characters of all words; 0 for `und`), per_char (log likelihood of the predicted language over them; null for
+    `und`), and the columns named in `keep` under names with two underscores before: rows pass through, none is joined."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((load_pieces(path), *model))
+    names = ["doc_id", "text_key", "lang_pred", "score", "word_chars", "per_char", *[f"__{c}" for c in keep]]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, probs = shared.value
@@ -225,12 +228,38 @@ def identify(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray]) ->
                     sums[i] = known[np.fromiter(map(places.__getitem__, words), np.int64, len(words))].sum(0)
             best = sums.argmax(1) if langs else np.zeros(len(texts), int)
             odds = np.exp(sums - sums.max(1, keepdims=True)).sum(1) if langs else np.ones(len(texts))
+            sizes = [sum(map(len, words)) for words in cut]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"),
                  pa.array([langs[b] if f else "und" for b, f in zip(best, fair)], pa.string()),
-                 pa.array([1.0 / o if f else 0.0 for o, f in zip(odds.tolist(), fair)], pa.float64())],
-                ["doc_id", "text_key", "lang_pred", "score"])
+                 pa.array([1.0 / o if f else 0.0 for o, f in zip(odds.tolist(), fair)], pa.float64()),
+                 pa.array(sizes, pa.int64()), pa.array([float(sums[i, b]) / max(1, n) if f else None for i, (b, f, n) in enumerate(
+                     zip(best, fair, sizes))], pa.float64()), *[batch.column(f"__{c}") for c in keep]], names)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(
-        score, "doc_id long, text_key long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"),
+                       *[F.col(c).alias(f"__{c}") for c in keep])
+    kept = "".join(f", `__{c}` {t}" for c, t in docs.select(*keep).dtypes) if keep else ""
+    return rows.mapInArrow(score, "doc_id long, text_key long, lang_pred string, score double, word_chars long, per_char double" + kept)
+
+
+def plausible(found: DataFrame, slack: float = 4.0, least_chars: int = 100) -> DataFrame:
+    """`found` (of `identify`, keeping doc_id and lang; read twice) without texts that are in no learned language: those whose
+    likelihood per character lies further below the median of their predicted language than `slack` times the way from the median
+    to the 1 % quantile. Both are taken over all labelled texts that the model has not learned from, so good texts of a
+    language are kept by a wide margin.
+
+    Texts without a letter go. Texts of fewer than `least_chars` characters, or of a language without held-out texts, are not judged
+    and stay.
+    """
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(0)) == 2
+    seen = found.where(held & (F.col("lang_pred") == F.col("__lang").cast("string")) & (F.col("word_chars") >= least_chars))
+    # one row per language; a sketch, as the limit is wide of all good texts
+    marks = seen.groupBy("lang_pred").agg(F.percentile_approx("per_char", F.array(F.lit(0.5), F.lit(0.01)), 10_000).alias("q")).collect()
+    lettered = F.col("lang_pred") != "und"
+    if not marks:
+        return found.where(lettered)
+    limit = F.create_map(*[x for r in marks for x in (F.lit(r["lang_pred"]), F.lit(r["q"][0] - slack * (r["q"][0] - r["q"][1])))])
+    low = F.try_element_at(limit, F.col("lang_pred"))
+    judged = (F.col("word_chars") >= least_chars) & low.isNotNull()
+    return found.where(lettered & (~judged | (F.col("per_char") >= low)))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.strata import cell_count, in_cells, stratum_key
-from cohortlens.llm.text import word_array, word_count
+from cohortlens.llm.text import word_count, word_stretches
 from cohortlens.session import settle
 
 _CHUNK = 4096
@@ -92,17 +92,13 @@ def block_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: in
         F.expr(f"__at % {shard_slots}").alias("output_slot"))
 
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """The draw of every output shard: output_shard, __stratum, blocks."""
-    return slots.groupBy("output_shard", "__stratum").agg(F.count(F.lit(1)).alias("blocks"))
-
-
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.5, cap: float = 2.0, block_words: int = 64,
         shard_slots: int = 16384, seed: int = 11, with_text: bool = False, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(pieces, taken).
 
     pieces: one row per stretch of a document that lies in one block: __row (of the document), doc_id, source, size,
-    source_size, target, block, from_word, words, `keep`, and with_text its words joined by single spaces.
+    source_size, target, block, from_word, words, `keep`, and with_text the stretch itself, cut out of the text as it is: the
+    stretches of a document in order are the document.
     taken: the pieces in the mix, once per slot, with epoch, output_shard and output_slot; pieces of no slot, and
     documents without words, have nulls there.
     """
@@ -120,11 +116,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.
     start = F.greatest(F.col("__before"), F.col("block") * block_words)
     end = F.least(F.col("__before") + F.col("size"), (F.col("block") + 1) * block_words)
     if with_text:  # split once per document, before its rows are made
-        laid = laid.withColumn("__words", word_array(F.col("__text"))).drop("__text")
+        laid = laid.withColumn("__words", word_stretches(F.col("__text"))).drop("__text")
     pieces = laid.withColumn("block", F.explode_outer(cut)).withColumn("from_word", start - F.col("__before")).withColumn(
         "words", F.coalesce(end - start, F.lit(0))).withColumn("__row", F.struct("__cell", "__rank"))
     out = ["__stratum", "__row", "doc_id", "source", "size", "source_size", "target", "block", "from_word", "words"]
-    text = [F.array_join(F.slice("__words", (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")), " ").alias(
+    text = [F.array_join(F.slice("__words", (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")), "").alias(
         "text")] if with_text else []
     pieces = pieces.select(*out, *text, *[F.col("__keep")[c].alias(c) for c in keep])
     slots = block_slots(targets, block_words, shard_slots, seed)

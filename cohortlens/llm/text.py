@@ -23,10 +23,10 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, "[ \\t-\\r]+"))).cast("long")
 
 
-def word_array(text: Column) -> Column:
-    """The words themselves, JVM side; empty for null."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t-\\r]+"))
+def word_stretches(text: Column) -> Column:
+    """The words, each with the blanks behind it and the first with those before it, JVM side: joined they are the text. Empty
+    for null and for a text without a word."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[ \\t-\\r]*[^ \\t-\\r]+[ \\t-\\r]*"), F.lit(0))
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
