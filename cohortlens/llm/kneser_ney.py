@@ -195,6 +195,9 @@ class Scorer:
     """log-likelihoods of words under every class, and their characters."""
 
     def __init__(self, model: dict[str, np.ndarray], order: int, whole: bool = False):
+        if not len(model["keys"]):  # nothing learned: one entry that no n-gram has
+            classes = model["p"].shape[1]
+            model = {"keys": np.array([2 ** 64 - 1], np.uint64), "p": np.full((1, classes), np.nan, np.float32), "rest": np.ones((1, classes), np.float32)}
         self.model, self.order, self.whole = model, order, whole
         self.classes = model["p"].shape[1]
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.shingles import Shingler, mix
+from cohortlens.llm.strata import stratum_key
 from cohortlens.llm.text import BLANKS, raw_texts, small_batches
 from cohortlens.session import settle, ship_package
 
@@ -142,7 +143,7 @@ def learn_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = 0.05, err
         F.min("quality").alias("quality"))
     place = [F.struct(F.lit(name).alias("rule"), _harmless(value, cuts).alias("first")) for name, (value, cuts) in rules.items()]
     rows = counted.where(~base_failed()).join(label, "doc_id").select(
-        F.coalesce("lang", F.lit("")).alias("stratum"), "quality", F.explode(F.array(*place)).alias("p")).groupBy(
+        stratum_key(F.col("lang")).alias("stratum"), "quality", F.explode(F.array(*place)).alias("p")).groupBy(
         "stratum", "p.rule", "p.first").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad")).collect()
     table: dict[tuple[str, str], tuple[list[int], list[int]]] = {}
     for r in rows:
@@ -165,6 +166,6 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float =
     own = table.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))  # six at most
     broken = F.array_compact(F.array(*[
         F.when(value > F.col("cutoffs")[name], F.lit(name)) for name, (value, _) in measures().items()]))
-    return counted.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(own, "stratum", "left").select(
+    return counted.withColumn("stratum", stratum_key(F.col("lang"))).join(own, "stratum", "left").select(
         "doc_id", "lang", *_COUNTS, base_failed().alias("base_failed"), broken.alias("failed_rules"),
         (~base_failed() & (F.size(broken) == 0)).alias("kept"))

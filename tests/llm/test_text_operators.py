@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -225,6 +226,69 @@ def test_kneser_ney_keeps_rare_grams(spark):
     grams.unpersist()
 
 
+def plain_kneser_ney(counts, order):
+    """Modified Kneser-Ney over the characters of words, by its definition on dictionaries of strings: log likelihood of a word."""
+    marked = {"\x02" + w + "\x03": n for w, n in counts.items()}
+    grams = [None] + [Counter() for _ in range(order)]
+    for w, n in marked.items():
+        for k in range(1, order + 1):
+            for end in range(max(2, k), len(w) + 1):
+                grams[k][w[end - k:end]] += n
+    p, rest = [None] + [{} for _ in range(order)], [None] + [{} for _ in range(order)]
+    for k in range(1, order + 1):
+        left = Counter(g[1:] for g in grams[k + 1]) if k < order else None
+        a = {g: n if left is None or g[0] == "\x02" or g not in left else left[g] for g, n in grams[k].items()}
+        n = [sum(v == i for v in a.values()) for i in range(1, 5)]
+        if n[0] and n[1]:
+            y = n[0] / (n[0] + 2 * n[1])
+            cut = [min(i + 0.95, max(0.05, i + 1 - (i + 2) * y * n[i + 1] / n[i] if n[i] else i + 0.75)) for i in range(3)]
+        else:
+            cut = [0.5, 0.75, 0.9]
+        d = {g: cut[min(v, 3) - 1] for g, v in a.items()}
+        for c in {g[:-1] for g in a}:
+            own = [g for g in a if g[:-1] == c]
+            total = sum(a[g] for g in own)
+            rest[k][c] = sum(d[g] for g in own) / total
+            for g in own:
+                below = 1 / len(a) if k == 1 else p[k - 1][g[1:]]
+                p[k][g] = (a[g] - d[g]) / total + rest[k][c] * below
+
+    def score(word):
+        w, total = "\x02" + word + "\x03", 0.0
+        for end in range(2, len(w) + 1):
+            value = p[1].get(w[end - 1:end], 1e-6)
+            for k in range(2, min(order, end) + 1):
+                g = w[end - k:end]
+                value = p[k].get(g, rest[k].get(g[:-1], 1.0) * value)
+            total += math.log(value)
+        return total
+
+    return score
+
+
+def test_kneser_ney_follows_its_definition(spark):
+    rnd = random.Random(8)
+    counts = Counter("".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 7))) for _ in range(400))
+    words = spark.createDataFrame([(0, w, n) for w, n in counts.items()], "cls int, word string, n long")
+    model = kneser_ney.fit(kneser_ney.count_grams(words, 4), 4, 1)
+    asked = [*list(counts)[:100], "", "z", "abz", "dddddddd", "éabcdéabcd"]
+    got = kneser_ney.Scorer(model, 4).likelihoods(asked)[:, 0]
+    want = [plain_kneser_ney(counts, 4)(w) for w in asked]
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-5)  # the table is kept in single precision
+
+
+def test_threshold_is_taken_from_texts_the_model_has_not_seen(spark):
+    """Half of the trusted words occur in one text only: texts that were learned from look better than new ones."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(60)), [None, "", "en"][i % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in perplexity.classify(docs, marks, quantile=0.95).collect()}
+    new = [got[i]["kept"] for i in range(1, 600, 2)]
+    assert 0.9 <= sum(new) / len(new) <= 0.99
+    assert len({(r["lang"], r["threshold"]) for r in got.values()}) == 3  # null and empty are groups of their own
+
+
 def test_toxicity_and_perplexity(spark, sf_dir, messy, nothing, labels):
     rnd = random.Random(9)
     plain = [f"w{i}" for i in range(60)]
