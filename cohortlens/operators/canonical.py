@@ -103,29 +103,33 @@ def to_canonical(
 def _modes(canon: DataFrame) -> DataFrame:
     """Modal category and city (smallest on ties), category and product diversity, distinct orders.
 
-    One narrow shuffle keyed by (entity, column, value) serves all five, spreading a hot entity over its
-    values; `is_buy` is carried so that distinct orders count purchases only.
+    Categories and cities have few values, so their cells (entity, category, city) fold on the map side and both modes are
+    taken from the cells. Only products and orders travel, keyed by the value: a hot entity is spread over its values. Orders
+    count purchases only.
     """
-    n = F.col("n")
+    n, c = F.col("n"), F.col
 
     def kind(name: str) -> Column:
-        return F.col("kind") == name
+        return c("kind") == name
 
     def mode(name: str) -> Column:
-        return F.min(F.when(kind(name), F.struct((-n).alias("rank"), F.col("value"))))["value"]
-
-    buys = F.when(F.col("event_type").isin(PURCHASE_TYPES), F.col("transaction_id"))
-    counts = (
-        canon.select("entity_id", "category", "city", "product_id", buys.alias("order"))
-        .unpivot(["entity_id"], ["category", "city", "product_id", "order"], "kind", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("entity_id", "kind", "value").agg(F.count(F.lit(1)).alias("n")))
-    return counts.groupBy("entity_id").agg(
+        return F.min(F.when(kind(name), F.struct((-n).alias("rank"), c("value"))))["value"]
+
+    cells = canon.groupBy("entity_id", "category", "city").agg(F.count(F.lit(1)).alias("n"))
+    sides = cells.unpivot(["entity_id", "n"], ["category", "city"], "kind", "value").where(c("value").isNotNull()).groupBy(
+        "entity_id", "kind", "value").agg(F.sum("n").alias("n"))
+    common = sides.groupBy("entity_id").agg(
         F.coalesce(mode("category"), F.lit("General")).alias("top_category"),
         F.coalesce(mode("city"), F.lit("Urban")).alias("city"),
-        count_where(kind("category")).alias("category_diversity"),
-        count_where(kind("product_id")).alias("unique_items_viewed"),
-        count_where(kind("order")).alias("__orders"))
+        count_where(kind("category")).alias("category_diversity"))
+    buys = F.when(c("event_type").isin(PURCHASE_TYPES), c("transaction_id"))
+    distinct = canon.select("entity_id", "product_id", buys.alias("order")).unpivot(
+        ["entity_id"], ["product_id", "order"], "kind", "value").where(c("value").isNotNull()).groupBy("entity_id", "kind", "value").agg(F.lit(1).alias("n"))
+    counted = distinct.groupBy("entity_id").agg(
+        count_where(kind("product_id")).alias("unique_items_viewed"), count_where(kind("order")).alias("__orders"))
+    return common.join(counted, "entity_id", "full").select(
+        "entity_id", F.coalesce("top_category", F.lit("General")).alias("top_category"), F.coalesce("city", F.lit("Urban")).alias("city"),
+        *[F.coalesce(x, F.lit(0)).alias(x) for x in ("category_diversity", "unique_items_viewed", "__orders")])
 
 
 def entity_features(
