@@ -250,7 +250,7 @@ def gram_sums(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over the rows that have both; undefined ones are 0."""
     types = dict(df.dtypes)
-    columns = columns or [c for c in df.columns if is_numeric(types[c])]
+    columns = [c for c in df.columns if is_numeric(types[c])] if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame([], "x string, y string, corr double")
     n = F.col("n")

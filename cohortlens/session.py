@@ -68,14 +68,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a wide table once to the shared folder and read it back: later scans prune columns and rows."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote, once everything made from them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (needed only by the two Arrow operators)."""
+    """Make this package importable in Python workers, for operators that work on Arrow batches."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
