@@ -148,7 +148,52 @@ def test_stages_take_odd_tables(spark, sf_dir, docs, nothing):
     assert len(texts) == len(set(texts))
 
 
+def test_every_stage_takes_odd_rows(spark, sf_dir, docs):
+    """Nulls, empty and very long texts, ties, repeated rows and extra columns; each stage on its own."""
+    texts = [r["text"] for r in docs.collect()]
+    columns = sorted(corpus_pipeline.COLUMNS)
+    language = corpus_pipeline.language(spark, docs, sf_dir)
+    assert sorted(language.columns) == columns
+    kept = [r["text"] for r in language.collect()]
+    assert all(t and any(c.isalpha() for c in t) for t in kept) and len(kept) == sum(bool(t) and any(c.isalpha() for c in t) for t in texts)
+    clean = corpus_pipeline.decontaminated(spark, docs, sf_dir)
+    assert sorted(clean.columns) == columns and sorted(map(str, (r["text"] for r in clean.collect()))) == sorted(map(str, texts))
+    mixed = corpus_pipeline.mixed(spark, docs, sf_dir).persist()
+    assert sorted(mixed.columns) == columns
+    whole = {}
+    for r in docs.collect():
+        whole.setdefault(r["doc_id"], []).append(r["text"] or "")
+    rows = mixed.collect()
+    assert rows and all(any(r["text"] in t for t in whole[r["doc_id"]]) and r["n_chars"] == len(r["text"]) for r in rows)
+    shards = corpus_pipeline.sharded(spark, mixed, sf_dir).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in shards) == sorted((str(r["doc_id"]), r["text"]) for r in rows)
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in shards if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    sizes = [sum(r["shard"] == s for r in shards) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1
+    assert corpus_pipeline.sharded(spark, docs, sf_dir).count() == docs.count()
+    mixed.unpersist()
+
+
+def test_languages_are_judged_by_the_model(spark, sf_dir):
+    """Texts of random letters go, texts of the learned languages and short ones stay; without a labelled text all lettered stay."""
+    import random
+    rnd = random.Random(1)
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars > 200").limit(150)
+    noise = [(9000 + i, " ".join("".join(rnd.choice("qxzjkwvyhbdfg") for _ in range(9)) for _ in range(60)), None, "s", 600) for i in range(10)]
+    short = [(9500, "xq zj", None, "s", 5), (9501, "12 34", None, "s", 5), (9502, None, None, "s", 0)]
+    docs = own.unionByName(spark.createDataFrame(noise + short, own.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, sf_dir).collect()}
+    assert not kept & set(range(9000, 9010)) and 9500 in kept and not kept & {9501, 9502}
+    good = {r["doc_id"] for r in own.collect()}
+    assert len(kept & good) >= 0.98 * len(good)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, unlabelled, sf_dir).collect()}
+    assert set(range(9000, 9010)) <= kept and 9501 not in kept
+
+
 def test_every_operator_has_a_query():
     names = queries.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
