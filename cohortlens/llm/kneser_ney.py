@@ -133,7 +133,7 @@ def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, whole: bool
     """The table that `Scorer` reads, from the counts of `count_grams`."""
     order += whole
     grams = stored(grams, "gram-counts")
-    lower, tables = None, []
+    lower, packed = None, _Packed(classes)
     for k in range(1, order + 1):
         def at(j: int, pooled: bool) -> DataFrame:
             own = grams.where(F.col("k") == j)
@@ -166,29 +166,52 @@ def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, whole: bool
         level = settle(level.select("cls", "g", "pre", "suf", "left_over", (
             (F.col("a") - F.col("d")) / F.col("total") + F.col("left_over") * F.col("below")).alias("p")))
         lower = level.select("cls", "g", "p")
-        tables.append(level.toArrow())
-    return _packed(tables, classes)
-
-
-def _packed(tables: list[pa.Table], classes: int) -> dict[str, np.ndarray]:
-    """Sorted hashes with, per class, the probability of the n-gram and the mass it leaves to lower orders as a context. An
-    n-gram that only another class has gets the value that backing off gives."""
-    columns = [{c: t.column(c).to_numpy() for c in t.column_names} for t in tables]
-    keys = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [x.view(np.uint64) for c in columns for x in (c["g"], c["pre"])]))
-    p, rest = np.full((len(keys), classes), np.nan), np.ones((len(keys), classes))
-    for c in columns:
-        g = np.searchsorted(keys, c["g"].view(np.uint64))
-        pre, suf = (np.searchsorted(keys, c[x].view(np.uint64)) for x in ("pre", "suf"))
-        suf = np.minimum(suf, len(keys) - 1)
-        for cls in np.unique(c["cls"]):
-            own = c["cls"] == cls
-            for to in range(classes) if cls == _POOLED else [int(cls)]:
-                p[g[own], to] = c["p"][own]
-                rest[pre[own], to] = c["left_over"][own]
-        for to in range(classes):
-            gap = np.isnan(p[g, to])
-            p[g[gap], to] = rest[pre[gap], to] * p[suf[gap], to]
-    return {"keys": keys, "p": p.astype(np.float32), "rest": rest.astype(np.float32)}
+        packed.add(_fetched(level))
+    return packed.table()
+
+
+def _fetched(level: DataFrame) -> pa.Table:
+    return level.withColumn("cls", F.col("cls").cast("byte")).toArrow()
+
+
+class _Packed:
+    """The finished table, built level by level: sorted hashes with, per class, the probability of the n-gram and the mass it
+    leaves to lower orders as a context. An n-gram that only another class has gets the value that backing off gives. What
+    is held is 8 + 8 * classes bytes an n-gram and the rows of one level."""
+
+    def __init__(self, classes: int):
+        self.classes, self.grams, self.contexts = classes, [], []
+        self.lower, self.p = np.zeros(0, np.uint64), np.zeros((0, classes))
+
+    def add(self, level: pa.Table) -> None:
+        """cls, g, pre, suf, left_over, p of one order; its contexts are contexts of no other order."""
+        cls = level.column("cls").to_numpy()
+        keys, g = np.unique(level.column("g").to_numpy().view(np.uint64), return_inverse=True)
+        contexts, pre = np.unique(level.column("pre").to_numpy().view(np.uint64), return_inverse=True)
+        p, rest = np.full((len(keys), self.classes), np.nan), np.ones((len(contexts), self.classes))
+        for own in np.unique(cls):
+            mine = cls == own
+            for to in range(self.classes) if own == _POOLED else [int(own)]:
+                p[g[mine], to] = level.column("p").to_numpy()[mine]
+                rest[pre[mine], to] = level.column("left_over").to_numpy()[mine]
+        if len(self.lower):
+            suf = level.column("suf").to_numpy().view(np.uint64)
+            for to in range(self.classes):
+                gap = np.flatnonzero(np.isnan(p[g, to]))
+                at = np.minimum(np.searchsorted(self.lower, suf[gap]), len(self.lower) - 1)
+                p[g[gap], to] = rest[pre[gap], to] * self.p[at, to]
+        self.grams.append((keys, p.astype(np.float32)))
+        self.contexts.append((contexts, rest.astype(np.float32)))
+        self.lower, self.p = keys, p
+
+    def table(self) -> dict[str, np.ndarray]:
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [k for k, _ in self.grams + self.contexts]))
+        p, rest = (np.full((len(keys), self.classes), x, np.float32) for x in (np.nan, 1.0))
+        for out, held in ((p, self.grams), (rest, self.contexts)):
+            while held:
+                k, values = held.pop()
+                out[np.searchsorted(keys, k)] = values
+        return {"keys": keys, "p": p, "rest": rest}
 
 
 class Scorer:
