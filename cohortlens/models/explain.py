@@ -11,7 +11,7 @@ ones are worked out for the patterns that occur in a batch.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,21 +149,31 @@ def linear_contributions(model, vectors: DataFrame, out: str = "contributions")
         (x[i] - F.lit(float(m))) * F.lit(w) for i, (m, w) in enumerate(zip(means, coef))]))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once per row, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def top_drivers(values: Column, names: Sequence[str], k: int = 3) -> Column:
     """The k strongest risk drivers, the k strongest protective ones, both together, and the top factor."""
     all_ = F.array(*[F.struct(F.lit(n).alias("feature"), F.round(values[i], 4).alias("shap_value"), F.when(
         values[i] > 0, "increases_risk").otherwise("decreases_risk").alias("direction")) for i, n in enumerate(names)])
 
-    def by(sign: int) -> Column:
-        kept = F.filter(all_, lambda d: d["shap_value"] * sign > 0)
+    def by(rows: Column, sign: int) -> Column:
+        kept = F.filter(rows, lambda d: d["shap_value"] * sign > 0)
         return F.slice(_sorted(kept, lambda d: -sign * d["shap_value"]), 1, k)
 
-    up, down = by(1), by(-1)
-    both = _sorted(F.concat(up, down), lambda d: -F.abs(d["shap_value"]))
-    first = F.coalesce(F.get(up, F.lit(0)), F.get(both, F.lit(0)))
-    return F.struct(
-        both.alias("drivers"), F.when(first.isNotNull(), F.struct(first["feature"], first["shap_value"]))
-        .alias("top_risk_factor"), up.alias("positive_drivers"), down.alias("protective_drivers"))
+    def with_both(s: Column) -> Column:
+        return F.struct(_sorted(F.concat(s["up"], s["down"]), lambda d: -F.abs(d["shap_value"])).alias("both"), s["up"].alias("up"), s["down"].alias("down"))
+
+    def with_first(s: Column) -> Column:
+        first = F.coalesce(F.get(s["up"], F.lit(0)), F.get(s["both"], F.lit(0)))
+        return F.struct(
+            s["both"].alias("drivers"), F.when(first.isNotNull(), F.struct(first["feature"], first["shap_value"]))
+            .alias("top_risk_factor"), s["up"].alias("positive_drivers"), s["down"].alias("protective_drivers"))
+
+    sides = _let(all_, lambda rows: F.struct(by(rows, 1).alias("up"), by(rows, -1).alias("down")))
+    return _let(_let(sides, with_both), with_first)
 
 
 def _sorted(arr: Column, key) -> Column:
@@ -174,9 +184,8 @@ def _sorted(arr: Column, key) -> Column:
 def explanation(values: Column, feature_values: Column, names: Sequence[str], k: int = 3) -> Column:
     """The full explanation of a row as one struct."""
     keys = F.array(*[F.lit(n) for n in names])
-    top = top_drivers(values, names, k)
-    return F.struct(
+    return _let(top_drivers(values, names, k), lambda top: F.struct(
         F.map_from_arrays(keys, F.transform(values, lambda v: F.round(v, 4))).alias("shap_values"),
         top["drivers"].alias("drivers"), top["top_risk_factor"].alias("top_risk_factor"),
         top["positive_drivers"].alias("positive_drivers"), top["protective_drivers"].alias("protective_drivers"),
-        F.map_from_arrays(keys, F.transform(feature_values, lambda v: F.round(v, 3))).alias("feature_values"))
+        F.map_from_arrays(keys, F.transform(feature_values, lambda v: F.round(v, 3))).alias("feature_values")))
