@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.models.vectors import assemble, positive
+from cohortlens.models.vectors import assemble, dealt, positive, together
 from cohortlens.operators.evaluation import qini_deciles, qini_summary
 from cohortlens.session import settle
 
@@ -34,7 +35,7 @@ class TwoModel:
     def fit(cls, rows: DataFrame, params: dict) -> "TwoModel":
         def arm(t: int):
             return GBTClassifier(featuresCol="features", labelCol="y", seed=42, **params).fit(rows.where(F.col("t") == t))
-        return cls(arm(0), arm(1))
+        return cls(*together(rows.sparkSession, [partial(arm, t) for t in (0, 1)]))
 
     def transform(self, rows: DataFrame) -> DataFrame:
         both = _with(self.treated, _with(self.control, rows, "__c"), "__t")
@@ -56,7 +57,8 @@ class XLearner:
         one = _with(stage1.control, rows.where("t = 1"), "__mu").withColumn("d", F.col("y") - F.col("__mu"))
         zero = _with(stage1.treated, rows.where("t = 0"), "__mu").withColumn("d", F.col("__mu") - F.col("y"))
         reg = GBTRegressor(featuresCol="features", labelCol="d", seed=42, **params)
-        return cls(propensity, reg.fit(settle(zero.select("features", "d"))), reg.fit(settle(one.select("features", "d"))))
+        return cls(propensity, *together(rows.sparkSession, [
+            partial(lambda part: reg.fit(settle(part.select("features", "d"))), part) for part in (zero, one)]))
 
     def transform(self, rows: DataFrame) -> DataFrame:
         out = _with(self.tau1, _with(self.tau0, _with(self.propensity, rows, "__e"), "__0"), "__1")
@@ -83,7 +85,7 @@ def train_uplift(
         F.col(key).alias("customer_id"), "features", F.col(treatment).cast("int").alias("t"),
         F.col(outcome).cast("double").alias("y")))
     held = F.pmod(F.xxhash64("customer_id"), F.lit(10)) >= 7
-    train, test = rows.where(~held), rows.where(held)
+    train, test = dealt(rows.where(~held)), rows.where(held)
     two = TwoModel.fit(train, params)
     learners = {"TWO_MODEL": two, "X_LEARNER": XLearner.fit(train, params, two)}
     results = {}
