@@ -6,25 +6,32 @@ without its first (what it backs off to). Continuation counts, context totals an
 these keys, spread over all tasks. Orders up to `shared` are counted over all classes together, so rare sequences back off
 to the same figures in every class.
 
-All n-grams are kept, so discounts and continuation counts are those of the whole text. The finished table comes to the
-driver and is broadcast for scoring: its memory grows with the distinct n-grams of the learned texts.
+All n-grams are kept, so discounts and continuation counts are those of the whole text. The finished table is written to
+the shared folder by the tasks that made it (`fit_shards`) and mapped into memory by those that score; `fit` gives a small one on
+the driver.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.text import small_batches
-from cohortlens.session import settle, ship_package, stored
+from cohortlens.session import drop_stored, scratch_path, ship_package, stored
 
 _BASE = np.uint64(0x100000001B3)
 _START, _END, _LONGEST = "\x02", "\x03", 32
 _POOLED, _UNSEEN = -1, 1e-6
+_SHARD = 1 << 18  # n-grams in a file of the stored model, about
 
 
 def parts(words: list[str]) -> list[str]:
@@ -129,11 +136,10 @@ def _discounts(level: DataFrame) -> dict[int, tuple[float, float, float]]:
     return out
 
 
-def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, whole: bool = False) -> dict[str, np.ndarray]:
-    """The table that `Scorer` reads, from the counts of `count_grams`."""
-    order += whole
+def _levels(grams: DataFrame, order: int, shared: int) -> Iterator[DataFrame]:
+    """cls, g, pre, suf, left_over, p of each order, as stored tables that the caller drops after the last."""
     grams = stored(grams, "gram-counts")
-    lower, packed = None, _Packed(classes)
+    lower = None
     for k in range(1, order + 1):
         def at(j: int, pooled: bool) -> DataFrame:
             own = grams.where(F.col("k") == j)
@@ -149,9 +155,10 @@ def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, whole: bool
                 "a", F.when(F.col("start") | F.col("left").isNull(), F.col("n")).otherwise(F.col("left")))
         else:
             level = level.withColumn("a", F.col("n"))
-        level = settle(level)
+        counted = level = stored(level.select("cls", "g", "pre", "suf", "a"), "level-counts")
         cuts = _discounts(level)
         if not cuts:
+            drop_stored(counted)
             break
         cut = F.create_map(*[x for c, d in cuts.items() for x in (F.lit(c), F.array(*map(F.lit, d)))])
         level = level.withColumn("d", cut[F.col("cls")][F.least(F.col("a"), F.lit(3)).cast("int") - 1])
@@ -163,13 +170,77 @@ def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, whole: bool
         else:
             on = lower.withColumnRenamed("g", "suf").withColumnRenamed("p", "below")
             level = level.join(on.drop("cls"), "suf") if k - 1 <= shared else level.join(on, ["cls", "suf"])
-        level = settle(level.select("cls", "g", "pre", "suf", "left_over", (
-            (F.col("a") - F.col("d")) / F.col("total") + F.col("left_over") * F.col("below")).alias("p")))
+        level = stored(level.select("cls", "g", "pre", "suf", "left_over", (
+            (F.col("a") - F.col("d")) / F.col("total") + F.col("left_over") * F.col("below")).alias("p")), "level")
+        drop_stored(counted)
         lower = level.select("cls", "g", "p")
+        yield level
+    drop_stored(grams)
+
+
+def fit(grams: DataFrame, order: int, classes: int, shared: int = 0, whole: bool = False) -> dict[str, np.ndarray]:
+    """The table that `Scorer` reads, from the counts of `count_grams`, on the driver."""
+    packed, done = _Packed(classes), []
+    for level in _levels(grams, order + whole, shared):
         packed.add(_fetched(level))
+        done.append(level)
+    drop_stored(*done)
     return packed.table()
 
 
+def fit_shards(grams: DataFrame, order: int, classes: int, shared: int = 0, whole: bool = False) -> dict[str, np.ndarray] | Shards:
+    """The same model as sorted files in the shared folder, written by the tasks: the driver gets a name for each."""
+    spark = grams.sparkSession
+    path = scratch_path(spark, "ngrams")
+    if not Shards.reachable(path):
+        return fit(grams, order, classes, shared, whole)
+    ship_package(spark)
+    levels = list(_levels(grams, order + whole, shared))
+    if not levels:
+        return Shards(path, 1, {}, classes)
+    cls, key, none = F.col("cls"), F.col("key"), F.lit(None).cast("float")
+    rows = reduce(DataFrame.unionByName, [x for level in levels for x in (
+        level.select(F.col("g").alias("key"), "cls", F.col("p").cast("float").alias("p"), none.alias("rest")),
+        level.select(F.col("pre").alias("key"), "cls", none.alias("p"), F.col("left_over").cast("float").alias("rest")))])
+    own = [cls.isin(c, _POOLED) for c in range(classes)]
+    n = 2 * (sum(level.count() for level in levels) // (2 * _SHARD)) + 31  # odd, so that all bits of the hash count
+    table = rows.groupBy("key").agg(*[F.max(F.when(is_own, F.col(x))).alias(f"{x}{c}") for x in ("p", "rest") for c, is_own in enumerate(own)])
+    values = [F.coalesce(f"p{c}", F.lit(float("nan"))).cast("float").alias(f"p{c}") for c in range(classes)] + [
+        F.coalesce(f"rest{c}", F.lit(1.0)).cast("float").alias(f"rest{c}") for c in range(classes)]
+    table = table.select(F.pmod(key, F.lit(n)).cast("int").alias("shard"), "key", *values).repartition(n, "shard").sortWithinPartitions("shard", "key")
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(made)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            name, rows = f"{now}-{uuid.uuid4().hex}", pa.Table.from_batches(held)
+            columns = [rows.column(i).to_numpy() for i in range(1, rows.num_columns)]
+            files, folder = Shards.file_system(path)
+            with files.open_output_stream(f"{folder}/{name}") as out:
+                out.write(columns[0].astype("<i8").tobytes())
+                out.write(np.stack(columns[1:], 1).astype("<f4").tobytes())
+            return pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "name": [name]})
+
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a and shard[a] != now:
+                    if held:
+                        yield flush()
+                    now, held = int(shard[a]), []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield flush()
+
+    names = {r["shard"]: r["name"] for r in table.mapInArrow(write, "shard int, name string").collect()}  # one row a file
+    drop_stored(*levels)
+    return Shards(path, n, names, classes)
+
+
 def _fetched(level: DataFrame) -> pa.Table:
     return level.withColumn("cls", F.col("cls").cast("byte")).toArrow()
 
@@ -214,6 +285,77 @@ class _Packed:
         return {"keys": keys, "p": p, "rest": rest}
 
 
+class Shards:
+    """A model in the shared folder: a file for each remainder of the hashes, with the sorted hashes and then, for each, the
+    probabilities and the masses left to lower orders of all classes. Tasks map the files into memory and take the n-grams of
+    a block of words at a time, so no process holds the table. Files that are not local are copied to the task's temporary
+    folder first."""
+
+    def __init__(self, path: str, n: int, names: dict[int, str], classes: int):
+        self.path, self.n, self.names, self.classes = path, n, names, classes
+        self.opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"opened": {}}
+
+    @staticmethod
+    def file_system(path: str) -> tuple[fs.FileSystem, str]:
+        if path.startswith("file:"):
+            path = "/" + path[len("file:"):].lstrip("/")
+        return fs.FileSystem.from_uri(path)
+
+    @staticmethod
+    def reachable(path: str) -> bool:
+        """Whether Python tasks can open the folder; if not, the model goes by broadcast."""
+        try:
+            Shards.file_system(path)
+        except (pa.ArrowException, OSError, ValueError):
+            return False
+        return True
+
+    def _open(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        if shard not in self.opened:
+            files, folder = self.file_system(self.path)
+            place = f"{folder}/{self.names[shard]}"
+            if not isinstance(files, fs.LocalFileSystem):
+                fd, copy = tempfile.mkstemp()
+                os.close(fd)
+                fs.copy_files(place, copy, source_filesystem=files, destination_filesystem=fs.LocalFileSystem())
+                place = copy
+            rows = os.path.getsize(place) // (8 + 8 * self.classes)
+            self.opened[shard] = (np.memmap(place, "<i8", "r", 0, (rows,)),
+                                  np.memmap(place, "<f4", "r", 8 * rows, (rows, 2 * self.classes)))
+            if place != f"{folder}/{self.names[shard]}":
+                os.unlink(place)  # stays while mapped
+        return self.opened[shard]
+
+    def part(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        """The table of those of the hashes (sorted, distinct) that the model has."""
+        signed = keys.view(np.int64)
+        shard = signed % self.n
+        by = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[by], np.arange(self.n + 1))
+        kept, values = [np.zeros(0, np.int64)], [np.zeros((0, 2 * self.classes), np.float32)]
+        for s in self.names:
+            mine = by[cuts[s]:cuts[s + 1]]
+            if len(mine):
+                held, value = self._open(s)
+                want = signed[mine]
+                at = np.minimum(np.searchsorted(held, want), len(held) - 1)
+                hit = held[at] == want
+                kept.append(mine[hit])
+                values.append(value[at[hit]])
+        where = np.concatenate(kept)
+        order = np.argsort(where)
+        value = np.concatenate(values)[order]
+        return {"keys": keys[where[order]], "p": value[:, :self.classes], "rest": value[:, self.classes:]}
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete the files, once all scores are written."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scorer:
     """log-likelihoods of words under every class, and their characters."""
 
@@ -258,10 +400,34 @@ class Scorer:
         return out
 
 
+class ShardScorer:
+    """A `Scorer` over the part of a stored model that the words need."""
+
+    def __init__(self, shards: Shards, order: int, whole: bool = False):
+        self.shards, self.order, self.whole, self.classes = shards, order, whole, shards.classes
+
+    def _keys(self, words: list[str]) -> np.ndarray:
+        _, length, prefix = _matrix(words)
+        out = [prefix[:1, 1]]
+        for end in range(2, prefix.shape[1]):
+            rows = int(np.searchsorted(-length, -end, side="right"))
+            out += [prefix[:rows, end] - prefix[:rows, end - k] * _power(k) for k in range(1, min(self.order, end) + 1)]
+            if self.whole and end > self.order:
+                out.append(prefix[:rows, end])
+        return np.unique(np.concatenate(out))
+
+    def likelihoods(self, words: list[str]) -> np.ndarray:
+        return Scorer(self.shards.part(self._keys(words)), self.order, self.whole).likelihoods(words)
+
+
+def scorer(model: dict[str, np.ndarray] | Shards, order: int, whole: bool = False) -> Scorer | ShardScorer:
+    return (ShardScorer if isinstance(model, Shards) else Scorer)(model, order, whole)
+
+
 class WordScores:
     """Likelihoods of words, kept between batches up to `most` words."""
 
-    def __init__(self, scorer: Scorer, most: int = 300_000):
+    def __init__(self, scorer: Scorer | ShardScorer, most: int = 300_000):
         self.scorer, self.most = scorer, most
         self.places: dict[str, int] = {}
         self.values = np.zeros((0, scorer.classes))

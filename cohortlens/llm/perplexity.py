@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.kneser_ney import Scorer, WordScores, count_grams, count_words, fit, parts
+from cohortlens.llm.kneser_ney import Shards, WordScores, count_grams, count_words, fit_shards, parts, scorer
 from cohortlens.llm.strata import stratum_key
 from cohortlens.llm.text import small_batches
-from cohortlens.session import settle, ship_package, stored
+from cohortlens.session import drop_stored, settle, ship_package, stored
 
 ORDER = 5
 
@@ -38,20 +38,22 @@ def trusted(labels: DataFrame) -> DataFrame:
         F.min("quality").alias("quality")).where("quality > 0").select("doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | Shards:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         trusted(labels).where(~held_out(F.col("doc_id"))).hint("shuffle_hash"), "doc_id", "left_semi").select(F.lit(0).alias("cls"), "text")
     words = stored(count_words(texts, str.split), "trusted-words")
-    return fit(count_grams(words, ORDER), ORDER, 1)
+    model = fit_shards(count_grams(words, ORDER), ORDER, 1)
+    drop_stored(words)
+    return model
 
 
-def perplexities(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+def perplexities(docs: DataFrame, model: dict[str, np.ndarray] | Shards) -> DataFrame:
     """doc_id, lang, n_words, perplexity of every row."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(Scorer(shared.value, ORDER))
+        scores = WordScores(scorer(shared.value, ORDER))
         for batch in small_batches(batches, "text", 4 << 20):
             cut = [parts((t or "").split()) for t in batch.column("text").to_pylist()]
             scores.learn(cut)
@@ -67,7 +69,10 @@ def perplexities(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, kept."""
-    found = settle(perplexities(docs, train(docs, labels))).withColumn("group", stratum_key(F.col("lang")))
+    model = train(docs, labels)
+    found = settle(perplexities(docs, model)).withColumn("group", stratum_key(F.col("lang")))
+    if isinstance(model, Shards):
+        model.drop(docs.sparkSession)
     # the sketch merges before the shuffle; one row per language
     limits = settle(found.join(trusted(labels).where(held_out(F.col("doc_id"))), "doc_id", "left_semi").groupBy("group").agg(
         F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")))

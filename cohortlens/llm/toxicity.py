@@ -22,9 +22,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.kneser_ney import Scorer, WordScores, count_grams, count_words, fit, parts
+from cohortlens.llm.kneser_ney import Shards, WordScores, count_grams, count_words, fit_shards, parts, scorer
 from cohortlens.llm.text import small_batches
-from cohortlens.session import settle, ship_package, stored
+from cohortlens.session import drop_stored, settle, ship_package, stored
 
 _MARKS = {i: " " for i in range(33, 127) if not chr(i).isalnum()}
 ORDER, SHARED, WINDOWS = 5, 2, (1, 8, 64)
@@ -46,12 +46,14 @@ def labelled(labels: DataFrame) -> DataFrame:
         F.max("toxic").cast("int").alias("cls")).withColumn("fold", fold(F.col("doc_id"))).where("fold != 0")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | Shards:
     """The two models, from all rows of three folds."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         labelled(labels).where("fold != 4").hint("shuffle_hash"), "doc_id").select("cls", "text")
     words = stored(count_words(texts, bare_words), "class-words")
-    return fit(count_grams(words, ORDER, True), ORDER, 2, SHARED, whole=True)
+    model = fit_shards(count_grams(words, ORDER, True), ORDER, 2, SHARED, whole=True)
+    drop_stored(words)
+    return model
 
 
 def passages(ratio: np.ndarray, size: np.ndarray) -> list[float]:
@@ -66,13 +68,13 @@ def passages(ratio: np.ndarray, size: np.ndarray) -> list[float]:
     return np.clip(out, -1.0, 1.0).tolist()
 
 
-def evidence(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+def evidence(docs: DataFrame, model: dict[str, np.ndarray] | Shards) -> DataFrame:
     """doc_id, evidence (whole text, then each window) of every row."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(Scorer(shared.value, ORDER, True))
+        scores = WordScores(scorer(shared.value, ORDER, True))
         for batch in small_batches(batches, "text", 4 << 20):
             cut = [parts(bare_words(t or "")) for t in batch.column("text").to_pylist()]
             scores.learn(cut)
@@ -88,7 +90,10 @@ def evidence(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, evidence, score."""
-    found = settle(evidence(docs, train(docs, labels)))
+    model = train(docs, labels)
+    found = settle(evidence(docs, model))
+    if isinstance(model, Shards):
+        model.drop(docs.sparkSession)
     rows = settle(found.join(labelled(labels).where("fold = 4"), "doc_id").select(
         F.col("cls").cast("double").alias("label"), array_to_vector("evidence").alias("features")))
     counts = {int(r["label"]): r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
