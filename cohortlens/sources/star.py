@@ -60,11 +60,12 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # cities meet the orders, so that lines are shuffled by order and part only; lines are not sorted, the other side is hashed
+    cities = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    placed = orders.join(cities.hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey"))
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        lines.join(placed.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(parts.hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line_no"),
