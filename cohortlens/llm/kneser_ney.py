@@ -16,8 +16,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.text import small_batches
+from cohortlens.llm.text import Places, small_batches
 from cohortlens.session import drop_stored, scratch_path, ship_package, stored
 
 _BASE = np.uint64(0x100000001B3)
@@ -36,16 +38,16 @@ _SHARD = 1 << 18  # n-grams in a file of the stored model, about
 
 def parts(words: list[str]) -> list[str]:
     """The words; one longer than 32 characters in stretches of 32, each read as a word."""
-    if not any(len(w) > _LONGEST for w in words):
+    if max(map(len, words), default=0) <= _LONGEST:
         return words
     return [w[i:i + _LONGEST] for w in words for i in range(0, len(w), _LONGEST)]
 
 
 def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by falling length, lengths with marks, and hashes of all beginnings, in that order."""
-    order = np.array(sorted(range(len(words)), key=lambda i: -len(words[i])), np.int64)
-    marked = [_START + words[i] + _END for i in order]
-    n = np.array([len(w) for w in marked], np.int64)
+    n = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    order = np.argsort(-n, kind="stable")
+    marked, n = [_START + words[i] + _END for i in order.tolist()], n[order]
     width = int(n.max(initial=0))
     code = np.zeros((len(words), width), np.uint64)
     code[np.arange(width) < n[:, None]] = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
@@ -64,7 +66,7 @@ def count_words(texts: DataFrame, words_of: Callable[[str], list[str]]) -> DataF
     ship_package(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[str, int]] = {}
+        held: dict[int, Counter[str]] = {}
 
         def emit() -> Iterator[pa.RecordBatch]:
             for cls, own in held.items():
@@ -74,9 +76,7 @@ def count_words(texts: DataFrame, words_of: Callable[[str], list[str]]) -> DataF
 
         for batch in small_batches(batches, "text"):
             for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist()):
-                own = held.setdefault(cls, {})
-                for word in parts(words_of(text or "")):
-                    own[word] = own.get(word, 0) + 1
+                held.setdefault(cls, Counter()).update(parts(words_of(text or "")))
             if sum(map(len, held.values())) > 500_000:
                 yield from emit()
                 held.clear()
@@ -323,19 +323,19 @@ class Shards:
                 fs.copy_files(place, copy, source_filesystem=files, destination_filesystem=fs.LocalFileSystem())
                 place = copy
             rows = os.path.getsize(place) // (8 + 8 * self.classes)
-            self.opened[shard] = (np.memmap(place, "<i8", "r", 0, (rows,)),
-                                  np.memmap(place, "<f4", "r", 8 * rows, (rows, 2 * self.classes)))
+            self.opened[shard] = (np.asarray(np.memmap(place, "<i8", "r", 0, (rows,))),
+                                  np.asarray(np.memmap(place, "<f4", "r", 8 * rows, (rows, 2 * self.classes))))
             if place != f"{folder}/{self.names[shard]}":
                 os.unlink(place)  # stays while mapped
         return self.opened[shard]
 
-    def part(self, keys: np.ndarray) -> dict[str, np.ndarray]:
-        """The table of those of the hashes (sorted, distinct) that the model has."""
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        """Probabilities and masses of the hashes (distinct), not a number for those that the model has not."""
         signed = keys.view(np.int64)
-        shard = signed % self.n
+        shard = (signed % self.n).astype(np.min_scalar_type(self.n))
         by = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[by], np.arange(self.n + 1))
-        kept, values = [np.zeros(0, np.int64)], [np.zeros((0, 2 * self.classes), np.float32)]
+        out = np.full((len(keys), 2 * self.classes), np.nan, np.float32)
         for s in self.names:
             mine = by[cuts[s]:cuts[s + 1]]
             if len(mine):
@@ -343,12 +343,14 @@ class Shards:
                 want = signed[mine]
                 at = np.minimum(np.searchsorted(held, want), len(held) - 1)
                 hit = held[at] == want
-                kept.append(mine[hit])
-                values.append(value[at[hit]])
-        where = np.concatenate(kept)
-        order = np.argsort(where)
-        value = np.concatenate(values)[order]
-        return {"keys": keys[where[order]], "p": value[:, :self.classes], "rest": value[:, self.classes:]}
+                out[mine[hit]] = value[at[hit]]
+        return out
+
+    def part(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        """The table of those of the hashes (sorted, distinct) that the model has."""
+        value = self.values(keys)
+        hit = ~np.isnan(value[:, -1])  # a mass is a number always
+        return {"keys": keys[hit], "p": value[hit, :self.classes], "rest": value[hit, self.classes:]}
 
     def drop(self, spark: SparkSession) -> None:
         """Delete the files, once all scores are written."""
@@ -366,58 +368,56 @@ class Scorer:
         self.model, self.order, self.whole = model, order, whole
         self.classes = model["p"].shape[1]
 
-    def _find(self, key: np.ndarray) -> np.ndarray:
-        keys = self.model["keys"]
-        if not len(keys):
-            return np.full(len(key), -1)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[at] == key, at, -1)
+    def _values(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities (not a number: none) and masses left to lower orders of the hashes."""
+        known = self.model["keys"]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = (known[at] == keys)[:, None]
+        return np.where(hit, self.model["p"][at], np.float32(np.nan)), np.where(hit, self.model["rest"][at], np.float32(1.0))
 
     def likelihoods(self, words: list[str]) -> np.ndarray:
         by, length, prefix = _matrix(words)
-        p_of, rest_of = self.model["p"], self.model["rest"]
-        sums = np.zeros((len(words), self.classes))
-        before = [self._find(prefix[:, 1])]  # the start mark as a context
+        grams, held = [prefix[:, 1]], []  # the start mark as a context
         for end in range(2, prefix.shape[1]):
             rows = int(np.searchsorted(-length, -end, side="right"))
+            held.append(min(self.order + self.whole, end))
+            grams += [prefix[:rows, end] - prefix[:rows, end - k] * _power(k) if k <= self.order else prefix[:rows, end]
+                      for k in range(1, held[-1] + 1)]
+        # every n-gram is looked up once, however many words hold it
+        keys, place = np.unique(np.concatenate(grams), return_inverse=True)
+        p_of, rest_of = self._values(keys)
+        places = iter(np.split(place, np.cumsum([len(g) for g in grams[:-1]])))
+        sums = np.zeros((len(words), self.classes))
+        before = [next(places)]
+        for most in held:
             now, p = [], None
-            for k in range(1, min(self.order + self.whole, end) + 1):
-                at = self._find(prefix[:rows, end] - prefix[:rows, end - k] * _power(k) if k <= self.order else prefix[:rows, end])
+            for k in range(1, most + 1):
+                at = next(places)
                 now.append(at)
-                known = p_of[at]
-                known[at < 0] = np.nan
+                known = p_of.take(at, 0)
                 if p is None:
                     p = known
                     p[np.isnan(p)] = _UNSEEN
                 else:
-                    context = before[min(k - 2 + (k > self.order), len(before) - 1)][:rows]
-                    rest = np.where((context >= 0)[:, None], rest_of[context], 1.0)
-                    p = np.where(np.isnan(known), rest * p, known)
-            sums[:rows] += np.log(np.maximum(p, 1e-30))
+                    context = before[min(k - 2 + (k > self.order), len(before) - 1)][:len(at)]
+                    p = np.where(np.isnan(known), rest_of.take(context, 0) * p, known)
+            sums[:len(p)] += np.log(np.maximum(p, 1e-30))
             before = now
         out = np.empty_like(sums)
         out[by] = sums
         return out
 
 
-class ShardScorer:
-    """A `Scorer` over the part of a stored model that the words need."""
+class ShardScorer(Scorer):
+    """A `Scorer` that takes the n-grams of its words from a stored model."""
 
     def __init__(self, shards: Shards, order: int, whole: bool = False):
         self.shards, self.order, self.whole, self.classes = shards, order, whole, shards.classes
 
-    def _keys(self, words: list[str]) -> np.ndarray:
-        _, length, prefix = _matrix(words)
-        out = [prefix[:1, 1]]
-        for end in range(2, prefix.shape[1]):
-            rows = int(np.searchsorted(-length, -end, side="right"))
-            out += [prefix[:rows, end] - prefix[:rows, end - k] * _power(k) for k in range(1, min(self.order, end) + 1)]
-            if self.whole and end > self.order:
-                out.append(prefix[:rows, end])
-        return np.unique(np.concatenate(out))
-
-    def likelihoods(self, words: list[str]) -> np.ndarray:
-        return Scorer(self.shards.part(self._keys(words)), self.order, self.whole).likelihoods(words)
+    def _values(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.shards.values(keys)
+        p, rest = np.ascontiguousarray(found[:, :self.classes]), found[:, self.classes:]
+        return p, np.where(np.isnan(rest), np.float32(1.0), rest)
 
 
 def scorer(model: dict[str, np.ndarray] | Shards, order: int, whole: bool = False) -> Scorer | ShardScorer:
@@ -425,21 +425,27 @@ def scorer(model: dict[str, np.ndarray] | Shards, order: int, whole: bool = Fals
 
 
 class WordScores:
-    """Likelihoods of words, kept between batches up to `most` words."""
+    """Likelihoods and lengths of words, kept between batches up to `most` words."""
 
     def __init__(self, scorer: Scorer | ShardScorer, most: int = 300_000):
         self.scorer, self.most = scorer, most
-        self.places: dict[str, int] = {}
-        self.values = np.zeros((0, scorer.classes))
+        self._forget()
 
-    def learn(self, cut: list[list[str]]) -> None:
+    def _forget(self) -> None:
+        self.places, self.values, self.sizes = Places(), np.zeros((0, self.scorer.classes)), np.zeros(0, np.int64)
+
+    def learn(self, cut: Iterable[list[str]]) -> list[np.ndarray]:
+        """Where `values` and `sizes` have the words of each text, until the next call. A text's words are not kept."""
         if len(self.places) > self.most:
-            self.places, self.values = {}, np.zeros((0, self.scorer.classes))
-        new = sorted(set().union(*cut) - self.places.keys(), key=len)
+            self._forget()
+        out = [self.places.of(words) for words in cut]
+        new = list(islice(self.places, len(self.values), None))
         if new:
-            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
-            self.values = np.concatenate([self.values, *[
-                self.scorer.likelihoods(new[i:i + 8000]) for i in range(0, len(new), 8000)]])
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return self.values[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            values = np.empty((len(new), self.scorer.classes))
+            by = np.argsort(sizes, kind="stable")
+            for i in range(0, len(new), 8000):
+                part = by[i:i + 8000]
+                values[part] = self.scorer.likelihoods([new[j] for j in part.tolist()])
+            self.values, self.sizes = np.concatenate([self.values, values]), np.concatenate([self.sizes, sizes])
+        return out

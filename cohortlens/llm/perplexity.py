@@ -55,11 +55,10 @@ def perplexities(docs: DataFrame, model: dict[str, np.ndarray] | Shards) -> Data
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(scorer(shared.value, ORDER))
         for batch in small_batches(batches, "text", 4 << 20):
-            cut = [parts((t or "").split()) for t in batch.column("text").to_pylist()]
-            scores.learn(cut)
-            out = [float(np.exp(-scores.of(words).sum() / (sum(map(len, words)) + len(words)))) if words else None for words in cut]
+            places = scores.learn(parts((t or "").split()) for t in batch.column("text").to_pylist())
+            out = [float(np.exp(-scores.values[at].sum() / (int(scores.sizes[at].sum()) + len(at)))) if len(at) else None for at in places]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array([len(w) for w in cut], pa.int64()), pa.array(out, pa.float64())],
+                [batch.column("doc_id"), batch.column("lang"), pa.array([len(at) for at in places], pa.int64()), pa.array(out, pa.float64())],
                 ["doc_id", "lang", "n_words", "perplexity"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),

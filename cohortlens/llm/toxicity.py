@@ -26,13 +26,13 @@ from cohortlens.llm.kneser_ney import Shards, WordScores, count_grams, count_wor
 from cohortlens.llm.text import small_batches
 from cohortlens.session import drop_stored, settle, ship_package, stored
 
-_MARKS = {i: " " for i in range(33, 127) if not chr(i).isalnum()}
+_MARKS = bytes(32 if 32 < i < 127 and not chr(i).isalnum() else i for i in range(256))
 ORDER, SHARED, WINDOWS = 5, 2, (1, 8, 64)
 
 
 def bare_words(text: str) -> list[str]:
     """Lower-cased words without ASCII punctuation."""
-    return text.lower().translate(_MARKS).split()
+    return text.lower().encode().translate(_MARKS).decode().split()
 
 
 def fold(doc_id: Column) -> Column:
@@ -76,12 +76,10 @@ def evidence(docs: DataFrame, model: dict[str, np.ndarray] | Shards) -> DataFram
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(scorer(shared.value, ORDER, True))
         for batch in small_batches(batches, "text", 4 << 20):
-            cut = [parts(bare_words(t or "")) for t in batch.column("text").to_pylist()]
-            scores.learn(cut)
             out = []
-            for words in cut:
-                value = scores.of(words)
-                out.append(passages(value[:, 1] - value[:, 0], np.fromiter(map(len, words), np.int64, len(words)) + 1.0))
+            for at in scores.learn(parts(bare_words(t or "")) for t in batch.column("text").to_pylist()):
+                value = scores.values.take(at, 0)
+                out.append(passages(value[:, 1] - value[:, 0], scores.sizes[at] + 1.0))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
