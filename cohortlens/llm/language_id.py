@@ -15,7 +15,9 @@ sorts first. Rows are never combined, so repeated rows and null ids pass through
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.text import BLANKS, small_batches
+from cohortlens.llm.text import BLANKS, Places, small_batches
 from cohortlens.session import settle, ship_package
 
 _BASE = np.uint64(0x100000001B3)
@@ -50,7 +52,7 @@ class Lattice:
         self.longest = max((len(pieces[i]) for i in kept), default=1)
         keys = np.array([self._hash(pieces[i]) for i in kept], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(kept)[order]
+        self.keys, self.ids = keys[order], np.array(kept, np.int32)[order]
 
     def _hash(self, text: str) -> int:
         value = 0
@@ -73,7 +75,7 @@ class Lattice:
             for size in range(1, min(end, self.longest) + 1):
                 key = prefix[:rows, end] - prefix[:rows, end - size] * self.powers[size]
                 at = np.minimum(np.searchsorted(self.keys, key), last)
-                out.append((end, size, np.where(self.keys[at] == key, self.ids[at], -1)))
+                out.append((end, size, np.where(self.keys[at] == key, self.ids[at], np.int32(-1))))
         return n, out
 
     def _grown(self, probs: np.ndarray, piece: np.ndarray, size: int) -> np.ndarray:
@@ -135,23 +137,21 @@ def learned_rows() -> Column:
 
 def _word_counts(sample: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], int] = {}
+        held: dict[str, Counter[str]] = {}
 
-        def emit() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                 pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang, pa.string()), len(own)), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())],
+                    ["lang", "word", "n"])
 
         for batch in small_batches(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for word in cut_words(text or ""):
-                    held[lang, word] = held.get((lang, word), 0) + 1
-            if len(held) > 500_000:
-                yield emit()
+                held.setdefault(lang, Counter()).update(cut_words(text or ""))
+            if sum(map(len, held.values())) > 500_000:
+                yield from emit()
                 held.clear()
-        if held:
-            yield emit()
+        yield from emit()
 
     return sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -200,35 +200,38 @@ def train(docs: DataFrame, path: str, sample: int = 3000, rounds: int = 3, smoot
 def identify(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text_key, lang_pred, score (posterior of the predicted language among the learned, all equally likely before),
     word_chars (characters of all words; 0 for `und`), per_char (log likelihood of the predicted language over them; null for
-    `und`), and the columns named in `keep` under names with two underscores before: rows pass through, none is joined."""
+    `und`), and the columns named in `keep` under names with two underscores before: rows pass through, none is joined, and a
+    kept text goes to the tasks once."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((load_pieces(path), *model))
     names = ["doc_id", "text_key", "lang_pred", "score", "word_chars", "per_char", *[f"__{c}" for c in keep]]
+    read = "__text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, probs = shared.value
-        lattice, places, known = Lattice(pieces), {}, np.zeros((0, len(langs)))
-        for batch in small_batches(batches, "text", 4 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        lattice, places, known, lengths = Lattice(pieces), Places(), np.zeros((0, len(langs))), np.zeros(0, np.int64)
+        for batch in small_batches(batches, read, 4 << 20):
+            texts = [t or "" for t in batch.column(read).to_pylist()]
             sums, fair = np.zeros((len(texts), len(langs))), [bool(langs and _LETTER.search(t)) for t in texts]
             if len(places) > 400_000:
-                places, known = {}, np.zeros((0, len(langs)))
-            cut = [cut_words(t) if f else [] for t, f in zip(texts, fair)]
-            new = list(set().union(*cut) - places.keys())
-            places.update(zip(new, range(len(places), len(places) + len(new))))
-            new.sort(key=len)
+                places, known, lengths = Places(), np.zeros((0, len(langs))), np.zeros(0, np.int64)
+            # a text's words are let go before the next text is cut
+            cut = [places.of(cut_words(t)) if f else np.zeros(0, np.int64) for t, f in zip(texts, fair)]
+            del texts
+            new = list(islice(places, len(known), None))
             if new:
-                fresh = [(part, lattice.likelihoods(part, probs)) for part in
-                         (new[i:i + 8000] for i in range(0, len(new), 8000))]
-                known = np.concatenate([known, np.zeros((len(new), len(langs)))])
-                for part, value in fresh:
-                    known[[places[w] for w in part]] = value
-            for i, words in enumerate(cut):
-                if words:
-                    sums[i] = known[np.fromiter(map(places.__getitem__, words), np.int64, len(words))].sum(0)
-            best = sums.argmax(1) if langs else np.zeros(len(texts), int)
-            odds = np.exp(sums - sums.max(1, keepdims=True)).sum(1) if langs else np.ones(len(texts))
-            sizes = [sum(map(len, words)) for words in cut]
+                size = np.fromiter(map(len, new), np.int64, len(new))
+                fresh, by = np.empty((len(new), len(langs))), np.argsort(size, kind="stable")
+                for i in range(0, len(new), 2000):
+                    part = by[i:i + 2000]
+                    fresh[part] = lattice.likelihoods([new[j] for j in part.tolist()], probs)
+                known, lengths = np.concatenate([known, fresh]), np.concatenate([lengths, size])
+            for i, at in enumerate(cut):
+                if len(at):
+                    sums[i] = known[at].sum(0)
+            best = sums.argmax(1) if langs else np.zeros(len(fair), int)
+            odds = np.exp(sums - sums.max(1, keepdims=True)).sum(1) if langs else np.ones(len(fair))
+            sizes = [int(lengths[at].sum()) for at in cut]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"),
                  pa.array([langs[b] if f else "und" for b, f in zip(best, fair)], pa.string()),
@@ -237,7 +240,7 @@ def identify(docs: DataFrame, path: str, model: tuple[list[str], np.ndarray], ke
                      zip(best, fair, sizes))], pa.float64()), *[batch.column(f"__{c}") for c in keep]], names)
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), *([text.alias("text")] if read == "text" else []),
                        *[F.col(c).alias(f"__{c}") for c in keep])
     kept = "".join(f", `__{c}` {t}" for c, t in docs.select(*keep).dtypes) if keep else ""
     return rows.mapInArrow(score, "doc_id long, text_key long, lang_pred string, score double, word_chars long, per_char double" + kept)
